@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .mixing import OP1_SQL, op1_mixing
 from .packing import op10_packing
+from .quality import OP9_SQL, op9_quality
 from .simhash import op7_simhash
+from .vafile import OP5_SQL, op5_topk
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op5_topk": op5_topk,
     "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_mixing": OP1_SQL, "op5_topk": OP5_SQL, "op9_quality": OP9_SQL}
