@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .kneser_ney import op6_kneser_ney
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op10_packing
 from .quality import OP9_SQL, op9_quality
@@ -11,6 +12,7 @@ from .vafile import OP5_SQL, op5_topk
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op5_topk": op5_topk,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
