@@ -7,6 +7,7 @@ from .mixing import OP1_SQL, op1_mixing
 from .packing import op10_packing
 from .quality import OP9_SQL, op9_quality
 from .simhash import op7_simhash
+from .toxicity import op8_toxicity
 from .vafile import OP5_SQL, op5_topk
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
