@@ -5,6 +5,7 @@ from __future__ import annotations
 from .kneser_ney import op6_kneser_ney
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op10_packing
+from .pii import op4_pii
 from .quality import OP9_SQL, op9_quality
 from .simhash import op7_simhash
 from .toxicity import op8_toxicity
@@ -12,6 +13,7 @@ from .vafile import OP5_SQL, op5_topk
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_pii": op4_pii,
     "op5_topk": op5_topk,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_simhash": op7_simhash,
