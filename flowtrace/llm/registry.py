@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .kneser_ney import op6_kneser_ney
+from .licenses import OP2_SQL, op2_licenses
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op10_packing
 from .pii import op4_pii
 from .quality import OP9_SQL, op9_quality
+from .quoting import OP3_SQL, op3_quoting
 from .simhash import op7_simhash
 from .toxicity import op8_toxicity
 from .vafile import OP5_SQL, op5_topk
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_licenses": op2_licenses,
+    "op3_quoting": op3_quoting,
     "op4_pii": op4_pii,
     "op5_topk": op5_topk,
     "op6_kneser_ney": op6_kneser_ney,
@@ -21,4 +25,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op5_topk": OP5_SQL, "op9_quality": OP9_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_licenses": OP2_SQL, "op3_quoting": OP3_SQL, "op5_topk": OP5_SQL, "op9_quality": OP9_SQL}
