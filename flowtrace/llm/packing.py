@@ -8,7 +8,9 @@ one that best-fit decreasing gives for all pieces at once, however many there ar
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ CAPACITY = 2048
 #: Rank groups per length: ranks are counted within a group and offset by the groups before it.
 GROUPS = 512
 #: Cached distinct words per worker; the cache is emptied when full.
-CACHE = 400_000
+CACHE = 700_000
 
 
 class SegmentTree:
@@ -80,34 +82,71 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-_tokenizers: dict[str, tuple] = {}
+#: The pattern by which a word-level tokenizer parts a text, and letters and signs whose tokens are those of either alone.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
 
 
-def _encoder(path: str):
-    """The tokenizer at path and its word cache, one of each per worker."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary has for each byte: itself where it prints, else the next one from 256 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b if prints[b] else 256 + b - sum(prints[:b])) for b in range(256)]
+
+
+class _Words(dict):
+    """The ids of each distinct word, as little-endian unsigned 32-bit numbers; each is tokenised once.
+
+    A run of letters, perhaps with signs after it, goes straight to the vocabulary's merges, which is
+    what the tokenizer does after its patterns; anything else goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merges, self.letters = tokenizer, tokenizer.model.tokenize, _byte_letters()
+        self.runs: dict[str, bytes] = {}
+
+    def _run(self, letters: str) -> bytes:
+        if letters not in self.runs:
+            mapped = letters if letters.isascii() else "".join(self.letters[b] for b in letters.encode())
+            self.runs[letters] = np.array([t.id for t in self.merges(mapped)], dtype="<u4").tobytes()
+        return self.runs[letters]
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+            self.runs.clear()
+        plain = _PLAIN.fullmatch(text := word.decode())
+        if plain:
+            ids = self._run(plain[1].lower()) + (self[plain[2].encode()] if plain[2] else b"")
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
-def encode(text: str, path: str) -> bytes:
-    """The ids of text as little-endian unsigned 32-bit numbers.
+_encoders: dict[str, object] = {}
 
-    The tokenizer drops white space and never joins what it parts, so ids of a text are those of its
-    words in turn; each distinct word is tokenised once. (bytes.split parts at ASCII white space alone.)
+
+def encoder(path: str):
+    """A function from a text to its ids as bytes, for the tokenizer at path; made once per worker.
+
+    A word-level tokenizer drops white space and never joins what it parts, so the ids of a text are
+    those of its words in turn. (bytes.split parts at ASCII white space alone.)
     """
-    tokenizer, cache = _encoder(path)
-    tokens = text.encode().split()
-    if new := {w for w in tokens if w not in cache}:
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = set(tokens)
-        part = list(new)
-        for word, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            cache[word] = np.array(e.ids, dtype="<u4").tobytes()
-    return b"".join(map(cache.__getitem__, tokens))
+    if path not in _encoders:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores
+        tokenizer = Tokenizer.from_file(path)
+        state = json.loads(tokenizer.to_str())
+        split, *rest = (state["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        by_word = split.get("pattern") == {"Regex": WORD_SPLIT} and [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        if by_word and [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+            words = _Words(tokenizer)
+            _encoders[path] = lambda text: b"".join(map(words.__getitem__, text.encode().split()))
+        else:
+            _encoders[path] = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -120,13 +159,13 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     id_type = docs.schema[id_col].dataType
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores
+        encode = encoder(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows, number, start, ids = [], [], [], []
                 for row, text in enumerate(part.column(1)):
-                    own = encode(text.as_py(), tokenizer_path) + end
+                    own = encode(text.as_py()) + end
                     for k, first in enumerate(range(0, len(own), step)):
                         rows.append(row), number.append(k), start.append(first // 4), ids.append(own[first : first + step])
                 columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
