@@ -18,9 +18,19 @@ MIXER = {"minutes": 24 * 60, "min_sources": 2, "min_destinations": 2}
 SEEDS = 8
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """df with doubles rounded, so that engines that sum in another order agree."""
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+#: Sums and differences of amounts, which are whole at eight decimals.
+WHOLE = {"total_btc_in", "total_btc_out", "net_flow", "total_input_value", "total_output_value", "max_output_amount", "min_output_amount", "output_amount_range", "fee"}
+WHOLE |= {"carried", "peeled", "starting_amount", "ending_amount", "total_peeled", "dominant_output_amount"}
+
+
+#: Added before rounding, so that means that end on a tie fall alike whatever the last bit.
+SHIFT = 3e-11
+
+
+def rounded(df: DataFrame, amounts: bool = True) -> DataFrame:
+    """df with doubles rounded, so that engines that sum in another order agree; amounts: columns named in WHOLE hold such."""
+    of = lambda c: F.round(c, 8) if amounts and c in WHOLE else F.round(F.col(c) + SHIFT, 6) + 0.0
+    return df.select(*(of(c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +200,7 @@ QUERIES = {
     "feedback_latest": _with_legs(lambda l: fb.latest(feedback_log(l))),
     "gt_evaluation": _with_legs(lambda l: scoring.evaluation(_simple_alerts(l), _truth(l))),
     "gt_pattern_recall": _with_legs(lambda l: scoring.pattern_recall(_simple_alerts(l), _truth(l))),
-    "robust_scaled": _with_legs(lambda l: rounded(anomaly.robust_scaled(model_features(l), "wallet", MODEL_COLUMNS), 4)),
+    "robust_scaled": _with_legs(lambda l: rounded(anomaly.robust_scaled(model_features(l), "wallet", MODEL_COLUMNS), amounts=False)),
     "deviant_features": _with_legs(lambda l: anomaly.deviant_features(model_features(l), "wallet", MODEL_COLUMNS)),
     "zscore_explain": _with_legs(lambda l: classify.zscore_explanations(model_features(l), "wallet", MODEL_COLUMNS)),
     "variance_importance": _with_legs(lambda l: rounded(classify.variance_importance(model_features(l), MODEL_COLUMNS))),
