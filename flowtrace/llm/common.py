@@ -1,13 +1,16 @@
-"""What the corpus operators share: the word pattern, table reading, lineage cuts and two-level ranks."""
+"""What the corpus operators share: the word pattern, table reading and lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
+
+__all__ = ["GAP", "WORD", "cut", "fold", "mounted_dir", "shared_dir", "table", "words"]
+
 #: A word is a maximal run of anything but ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,14 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="flowtrace-"))
-    return sc.getCheckpointDir()
-
-
 def mounted_dir(spark: SparkSession) -> str:
     """shared_dir as a path that Python on every executor can open; ValueError where it isn't a mounted folder."""
     url = urlparse(shared_dir(spark))
@@ -33,12 +28,6 @@ def mounted_dir(spark: SparkSession) -> str:
     return url.path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of text (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")
@@ -47,8 +36,3 @@ def words(text: Column) -> Column:
 def fold(text: Column) -> Column:
     """text with A-Z in lower case and all else as it is (null: empty)."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def clean_name(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns, so that extra columns can't clash with an operator's own."""
-    return df.select(*wanted)

@@ -121,11 +121,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The kept rows of docs, common lines removed from their text."""
-    verdicts = quality_rules(docs, id_col, text_col, host_col, **limits).where("kept").select("key1", "key2", "removed").dropDuplicates(["key1", "key2"])
-    keyed = docs.withColumn("key1", F.xxhash64(id_col, host_col, text_col)).withColumn("key2", F.xxhash64(F.lit(1), text_col, host_col, id_col))
-    stays = lambda x: ~F.array_contains(F.coalesce("removed", F.array().cast("array<bigint>")), F.xxhash64(normalised(x)))
+    verdicts = quality_rules(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2"), F.col("removed").alias("_removed")).dropDuplicates(["_key1", "_key2"])
+    same = (F.xxhash64(id_col, host_col, text_col) == F.col("_key1")) & (F.xxhash64(F.lit(1), text_col, host_col, id_col) == F.col("_key2"))
+    stays = lambda x: ~F.array_contains(F.coalesce("_removed", F.array().cast("array<bigint>")), F.xxhash64(normalised(x)))
     text = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), stays), "\n")
-    return keyed.join(verdicts, ["key1", "key2"]).withColumn(text_col, text).select(*docs.columns)
+    return docs.join(verdicts, same).withColumn(text_col, text).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import cut, table
-from .components import components
 
 SEED = 42
 #: Fingerprints under one variant from which star links over two-wildcard variants take the place of pairs.

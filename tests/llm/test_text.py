@@ -1,0 +1,278 @@
+"""Operators on documents, against brute force on a small table of ordinary and awkward rows."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from flowtrace.llm import kneser_ney, mixing, packing, pii, quality, simhash, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+rng = random.Random(7)
+
+
+def fold(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def sentence(n):
+    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta Eta theta iota kappa ünï ßtraße".split()) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = [sentence(rng.randint(1, 120)) for _ in range(40)]
+    texts = [*base, base[0], base[0], base[1] + " x", None, "", " \t\n", "one", "two words", "a\x1cb \x85 c", "x y " * 6000, "Ends here.\n" * 70, "mail me@ex-a.co.uk_b@c.de or 1.2.3.4.5.6.7.8 999.1.1.1",
+             "card 4111 1111 1111 1111, 4111-1111-1111-1112 +1 (555) 123-4567 +12 +1", "1 " * 3000 + "9" * 5000, "<|endoftext|> it's 12 É"]
+    out = [(k, t, "en", f"s{k % 3}" if k % 11 else None, len(t or ""), "own", 1.5) for k, t in enumerate(texts)]
+    return [*out, (None, base[2], "en", "s1", 5, "own", 1.5), out[3], out[3]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, base string, size double").repartition(3).cache()
+
+
+def test_simhash(docs, rows):
+    def fp(text):
+        w = WORD.findall(fold(text))
+        shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {r[1]: fp(r[1]) for r in rows}
+    groups = {f: {f} for f in prints.values()}
+    for a, b in itertools.combinations(list(groups), 2):
+        if (a ^ b).bit_count() <= 2 and groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for x in groups[b]:
+                groups[x] = groups[a]
+    want = Counter((r[0], f"{prints[r[1]]:016x}", min(x[0] for x in rows if x[0] is not None and prints[x[1]] in groups[prints[r[1]]])) for r in rows)
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({k[2] for k in want})
+
+
+def test_simhash_links_in_hot_variants(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 3)
+    own = {rng.getrandbits(63) for _ in range(20)}
+    centre = rng.getrandbits(63)
+    own |= {centre ^ (1 << i) ^ (1 << j) for i in range(0, 40, 3) for j in range(i + 1, 40, 7)}
+    prints = spark.createDataFrame([(x,) for x in own], "fp long")
+    from flowtrace.operators.components import components
+
+    got = {r.node: r.root for r in components(simhash.links(prints)).collect()}
+    parent = {x: x for x in own}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(own, 2):
+        if (a ^ b).bit_count() <= 2:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    assert {x: got.get(x, x) for x in own} == {x: root(x) for x in own}
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter()
+    for r in rows:
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            want[(r[0], at // 2048, at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))] += 1
+    got = packing.digests(docs).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    whole = packing.pack(packing.tokenize(docs, packing.default_tokenizer()), ("doc_id", "piece", "start"))
+    joined = packing.sequences(whole).collect()
+    assert sum(len(r.ids) for r in joined) == 4 * sum(k[3] * n for k, n in want.items()) and len(joined) == len(bins)
+
+
+def test_best_fit_plan():
+    for _ in range(30):
+        cap = rng.randint(5, 40)
+        sizes = sorted((rng.randint(1, cap) for _ in range(rng.randint(1, 120))), reverse=True)
+        rooms = []
+        for s in sizes:
+            fits = [r for r in rooms if r >= s]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - s)
+            else:
+                rooms.append(cap - s)
+        left, ranks = {}, Counter()
+        for length, first, many, bin_, each, offset in packing.plan(Counter(sizes), cap):
+            assert first == ranks[length]
+            ranks[length] += many
+            for k in range(many):
+                b = bin_ + k // each
+                assert offset + k % each * length == cap - left.get(b, cap)
+                left[b] = left.get(b, cap) - length
+        assert ranks == Counter(sizes) and sorted(left.values()) == sorted(rooms)
+
+
+def test_mixing(docs, rows):
+    placed, parts = mixing.mixture(mixing.sized(docs), block=16)
+    got = mixing.taken(placed, parts).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    goal, target, free = 1.5 * sum(size.values()), {}, set(order)
+    while True:
+        level = (goal - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    took = Counter()
+    for r in got:
+        assert r.target == pytest.approx(target[r.source]) and r.taken <= 2 * r.size
+        took[r.source] += r.taken
+    assert all(abs(took[s] - target[s]) <= 1 for s in order)
+    seen = parts.groupBy("source_no", "turn").agg(F.countDistinct("slot").alias("slots"), F.sum("n_words").alias("n")).collect()
+    assert all(r.slots == 1 and r.n <= 16 for r in seen)
+    out = mixing.mixed(docs, block=16)
+    assert out.columns == docs.columns
+    assert sum(len(WORD.findall(r.text or "")) for r in out.collect()) == sum(took.values())
+
+
+def test_pii(docs, rows):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def passes(kind, hit):
+        d = [int(c) for c in hit if c.isdigit()]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in hit.split("."))
+        if kind == "card":
+            return 13 <= len(d) <= 19 and sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0
+        return kind != "phone" or 9 <= len(d) <= 15
+
+    def base(text):
+        return [f"{k}:{m.start()}:{m.end()}" for k, p in patterns.items() for m in re.finditer(p, text or "") if passes(k, m[0])]
+
+    found = pii.find(docs).select("doc_id", F.sha2(pii._listed("base").cast("binary"), 256).alias("h"), pii._listed("all").alias("all")).collect()
+    assert Counter((r.doc_id, r.h) for r in found) == Counter((r[0], hashlib.sha256(",".join(base(r[1])).encode()).hexdigest()) for r in rows)
+    assert all(set(base(r[1])) <= set(f.all.split(",") + [""]) for r in rows for f in found if f.doc_id == r[0] and r[0] is not None)
+    clean = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert pii.redacted(docs).columns == docs.columns
+    text = next(r.text for r in clean.values() if r.text and r.text.startswith("mail"))
+    assert "[EMAIL]" in text and "@" not in text.replace("[EMAIL]", "") and "[IP]" in text and "999.1.1.1" in text
+    assert clean[0].text == rows[0][1] and clean[0].base == "own"
+
+
+def test_quality(docs, rows):
+    limit = 2
+    got = quality.quality_rules(docs, max_docs=limit).collect()
+    norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+    lines = [[x for x in (r[1] or "").split("\n") if WORD.search(x)] for r in rows]
+    n_docs = Counter(k for r, own in zip(rows, lines) for k in {(r[3], norm(x)) for x in own})
+    want = Counter()
+    for r, own in zip(rows, lines):
+        w = WORD.findall(r[1] or "")
+        wins = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        rep = len({k + o for k in range(len(w) - 2) if wins[tuple(w[k : k + 3])] > 1 for o in range(3)})
+        left = len(w) - sum(len(WORD.findall(x)) for x in own if n_docs[(r[3], norm(x))] > limit)
+        failed = len(w) < 50 or 100 * rep > 50 * len(w)
+        want[(r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r[1] or "")), len(own) - len(set(own)), rep, failed, not failed and left >= 0.5 * len(w), left)] += 1
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.words_left) for r in got) == want
+    assert quality.cleaned(docs, max_docs=limit).columns == docs.columns
+
+
+def test_quality_beyond_packed_positions(docs, monkeypatch):
+    one = docs.where("doc_id < 10")
+    packed = sorted(map(tuple, quality.quality_rules(one).select("doc_id", "n_repeat_words").collect()))
+    monkeypatch.setattr(quality, "_MASK", 7)
+    monkeypatch.setattr(quality, "_POSITION_BITS", 3)
+    assert sorted(map(tuple, quality.quality_rules(one).select("doc_id", "n_repeat_words").collect())) == packed
+
+
+def test_kneser_ney(docs, rows):
+    held = {r[0]: zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 7 == 2 for r in rows}
+    marked = docs.withColumn("held_out", kneser_ney.held_out(F.col("doc_id"), 7, 2))
+    model = kneser_ney.fit(marked.where("NOT held_out"))
+    got = kneser_ney.score(marked, model, keep=("held_out",)).collect()
+    model.remove()
+    words, pairs, starts = Counter(), Counter(), Counter()
+    tokens = [WORD.findall(fold(r[1])) + ["\n"] for r in rows]
+    for r, w in zip(rows, tokens):
+        if not held[r[0]]:
+            words.update(w)
+            for p in zip([" "] + w, w):
+                pairs[p] += 1
+                starts[p[0]] += 1
+    kinds = Counter(b for _, b in pairs)
+    d2, d1 = (kneser_ney._discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for c in (pairs, kinds))
+    cut = lambda n, d: n - d[min(n, 3) - 1] if n else 0.0
+    gamma = sum(d1[min(n, 3) - 1] for n in kinds.values()) / len(pairs)
+    kept = Counter()
+    for (a, _), n in pairs.items():
+        kept[a] += d2[min(n, 3) - 1]
+    low = lambda w: cut(kinds[w], d1) / len(pairs) + gamma / (len(words) + 1)
+    p = lambda a, w: (cut(pairs[a, w], d2) + kept[a] * low(w)) / starts[a] if starts[a] else low(w)
+    assert sum(low(w) for w in words) + low("unseen") == pytest.approx(1) and sum(p("alpha", w) for w in words) + p("alpha", "unseen") == pytest.approx(1)
+    total = sum(words.values())
+    assert model.tokens == total and model.vocabulary == len(words)
+    want = {}
+    for r, w in zip(rows, tokens):
+        score = sum(math.log10(p(a, b)) for a, b in zip([" "] + w, w))
+        want.setdefault(r[0], []).append((held[r[0]], len(w), sum(words[x] > 0 for x in w), sum(math.log10((words[x] + 1) / (total + len(words) + 1)) for x in w), score))
+    for r in got:
+        assert any(x[:3] == (r.held_out, r.n_tokens, r.n_known) and x[3] == pytest.approx(r.base_score) and x[4] == pytest.approx(r.score) for x in want[r.doc_id])
+    assert len(got) == len(rows)
+
+
+def test_toxicity(spark):
+    texts, labels = [], []
+    for k in range(400):
+        bad = k % 4 == 0
+        texts.append((k, sentence(30) + (rng.choice([" this idiot", " you blorkfex", " blorkfum", " pathetic"]) if bad else "") + " " + sentence(5), "x"))
+        labels.append((k, int(bad)))
+    docs = spark.createDataFrame([*texts, (None, None, "x"), (400, "", "x")], "doc_id long, text string, counts string")
+    known = spark.createDataFrame([*labels, (5, None), (6, 7)], "doc_id long, toxic int")
+    got = toxicity.predictions(docs, known).collect()
+    truth = dict(labels)
+    held = [r for r in got if r.doc_id in truth and r.held_out]
+    assert len(got) == 402 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got) and len(held) > 50
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 5 == 0) for r in got)
+    kept = toxicity.accepted(docs, known)
+    assert kept.columns == docs.columns and {r.doc_id for r in got if r.predicted == 0} == {r.doc_id for r in kept.collect()}
+    alone = toxicity.predictions(docs, known.limit(0)).collect()
+    assert {r.doc_id: r.predicted for r in alone}[400] == 0
+
+
+def test_empty_tables(docs, spark):
+    none = docs.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert simhash.near_duplicates(none).count() == simhash.one_of_each(none).count() == packing.digests(none).count() == 0
+    assert mixing.mixed(none).count() == pii.find(none).count() == quality.quality_rules(none).count() == toxicity.predictions(none, labels).count() == 0
+    model = kneser_ney.fit(none)
+    assert kneser_ney.score(docs, model).count() == docs.count() and kneser_ney.score(none, model).count() == 0
+    model.remove()
