@@ -28,14 +28,14 @@ from .kneser_ney import held_out
 #: Labelled rows that lexicons are learned from and the classifier is fitted on: about so many, by hash of the id.
 MAX_TRAIN = 20_000
 #: Toxic training documents that a learned term needs, and the share of its documents that are toxic.
-LEAST, PRECISION = 4, 0.9
+LEAST, PRECISION = 5, 0.9
 ROUNDS = 25
 
 #: Word lists of the lexicon voters.
 LEXICONS = {
     "insult": "idiot idiots moron morons fool fools clown clowns loser losers jerk creep scum imbecile dimwit cretin",
     "contempt": "worthless pathetic useless trash garbage disgusting stupid dumb brainless filthy vile ridiculous",
-    "hostile": "hate kill die hell damn shut destroy despise",
+    "hostile": "hate kill damn shut destroy despise",
     "other": "dumm idioten abschaum wertlos ekelhaft imbécile stupide minable dégoûtant estúpido inútil basura asqueroso patético",
 }
 _POINTERS = frozenset("this that these those you such der die das dieser ce cette ces el la este esta eres".split())
@@ -43,7 +43,7 @@ _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 #: Learned words are dealt to so many voters, besides one for word beginnings of five and one for those of six letters.
 WORD_GROUPS = 4
-VOTERS = (*LEXICONS, *(f"words{k}" for k in range(WORD_GROUPS)), "begin5", "begin6", "pointed", "repeated", "shout", "exclaim")
+VOTERS = (*LEXICONS, *(f"words{k}" for k in range(WORD_GROUPS)), "begin5", "begin6", "pointed", "repeated", "shout", "exclaim", "silent")
 _FIXED = {w: k for k, name in enumerate(LEXICONS) for w in LEXICONS[name].split()}
 _AT = {name: k for k, name in enumerate(VOTERS)}
 
@@ -66,17 +66,17 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Hits(dict):
-    """The voters that a token (lower case) fires, as a tuple; learned: term -> whatever."""
+    """The voters that a token (lower case) fires, as a tuple, from learned terms and the fixed words that aren't muted."""
 
-    def __init__(self, learned: frozenset[str]):
+    def __init__(self, learned: frozenset[str], muted: frozenset[str] = frozenset()):
         super().__init__()
-        self.learned = learned
+        self.learned, self.muted = learned, muted
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
         w, found = token.strip(_STRIP), []
-        if w in _FIXED:
+        if w in _FIXED and w not in self.muted:
             found.append(_FIXED[w])
         if f"w{w}" in self.learned:
             found.append(len(LEXICONS) + zlib.crc32(w.encode()) % WORD_GROUPS)
@@ -100,24 +100,26 @@ def voter_counts(text: str | None, hits: Hits) -> list[int]:
     n[_AT["repeated"]] = max(0, len(fired) - 1)
     n[_AT["shout"]] = len(_SHOUT.findall(text))
     n[_AT["exclaim"]] = text.count("!!")
+    n[_AT["silent"]] = int(not fired)
     return n
 
 
 @dataclass
 class Toxicity:
-    """A fitted model: learned terms, the label model's parameters, the classifier's weights."""
+    """A fitted model: learned terms, fixed words that labels speak against, the label model's parameters, the classifier's weights."""
 
     learned: list[str] = field(default_factory=list)
+    muted: list[str] = field(default_factory=list)
     accuracies: list[tuple[float, float]] = field(default_factory=list)
     correlations: list[list[float]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     intercept: float = 0.0
 
     def counts(self, text: Column) -> Column:
-        learned = frozenset(self.learned)
+        learned, muted = frozenset(self.learned), frozenset(self.muted)
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            hits = Hits(learned)
+            hits = Hits(learned, muted)
             for texts in batches:
                 yield pd.Series([voter_counts(t, hits) for t in texts])
 
@@ -146,26 +148,28 @@ def label_model(patterns: np.ndarray, n: np.ndarray, labelled: np.ndarray) -> tu
     """Posterior of each vote pattern, and the voters' fire rates by class and residual correlations, by expectation maximisation.
 
     patterns: votes of 0 or 1, a row per pattern; n: documents with it; labelled: how many of them are
-    labelled clean and toxic, which anchors the classes. A voter's evidence is divided by one plus what
-    its votes correlate with other voters' within the classes, so that copies of a vote count once.
+    labelled clean and toxic, which anchors the classes. Only voters that fire give evidence (one fires where no lexicon
+    does). It is divided by one plus what a voter's votes correlate within the classes with those of the others
+    that fire, so that copies of a vote count once.
     """
     votes, anchors = patterns.astype(float), labelled.astype(float)
     free = np.maximum(n - anchors.sum(axis=1), 0)
     lexical = votes[:, : _AT["begin6"] + 1].any(axis=1)
     posterior = np.where(lexical, 0.9, 0.02)
     rates, correlation = np.zeros((2, votes.shape[1])), np.eye(votes.shape[1])
-    for _ in range(ROUNDS):
-        mass = np.stack([free * (1 - posterior) + anchors[:, 0], free * posterior + anchors[:, 1]])
+    for k in range(ROUNDS):
+        # where labels are known, they alone set the first rates
+        own = free * (k > 0 or not anchors.any())
+        mass = np.stack([own * (1 - posterior) + anchors[:, 0], own * posterior + anchors[:, 1]])
         total = mass.sum(axis=1)
         rates = (mass @ votes + 0.5) / (total[:, None] + 1.0)
         residual = [np.sqrt(m)[:, None] * (votes - r) for m, r in zip(mass, rates)]
         covariance = sum(x.T @ x for x in residual) / max(total.sum(), 1.0)
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
         correlation = covariance / np.outer(scale, scale)
-        shared = np.clip(correlation, 0, 1)
-        discount = 1 / np.maximum(shared.sum(axis=1), 1.0)
-        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        odds = np.log((total[1] + 1) / (total[0] + 1)) + votes @ (discount * on) + (1 - votes) @ (discount * off)
+        shared = np.clip(correlation, 0, 1) - np.eye(len(correlation))
+        discount = 1 / (1 + votes @ np.clip(shared, 0, 1))
+        odds = np.log((total[1] + 1) / (total[0] + 1)) + (votes * discount) @ np.log(rates[1] / rates[0])
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior, rates, correlation
 
@@ -183,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = Toxicity()
     counted = ids.join(sample, "doc_id").select("text", "toxic").mapInPandas(_term_counts, "term string, toxic long, clean long")
-    summed = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    summed = cut(counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST))
+    # fixed words that labels speak against, as in a language that uses them otherwise
+    model.muted = sorted(r.term[1:] for r in summed.where(F.col("term").isin([f"w{w}" for w in _FIXED]) & (F.col("clean") > F.col("toxic"))).collect())
     # no more terms than the bounded sample's toxic documents have, LEAST documents each
     chosen = summed.where((F.col("toxic") >= LEAST) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     model.learned = sorted(r.term for r in chosen.select("term").collect())
