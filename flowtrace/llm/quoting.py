@@ -49,11 +49,13 @@ def links(messages: DataFrame) -> DataFrame:
     A passage is the message's that wrote it first. The least depth with any match decides; there the
     message with most matched letters, the later of equals.
     """
-    wrote = messages.select("conv_id", "turn", F.explode(_passages(F.col("own"))).alias("p")).select("conv_id", "turn", F.xxhash64("p").alias("hash"))
-    first = cut(wrote.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")))
     quotes = messages.select("conv_id", "turn", F.explode(F.filter("blocks", lambda b: b["depth"] > 0)).alias("b"))
     quotes = quotes.select("conv_id", "turn", "b.depth", F.explode(_passages(F.col("b.text"))).alias("p"))
-    quotes = quotes.select("conv_id", "turn", "depth", F.length("p").cast("long").alias("size"), F.xxhash64("p").alias("hash")).withColumn("salt", F.pmod("turn", F.lit(SALTS)))
+    quotes = cut(quotes.select("conv_id", "turn", "depth", F.length("p").cast("long").alias("size"), F.xxhash64("p").alias("hash"))).withColumn("salt", F.pmod("turn", F.lit(SALTS)))
+    wrote = messages.select("conv_id", "turn", F.explode(_passages(F.col("own"))).alias("p")).select("conv_id", "turn", F.xxhash64("p").alias("hash"))
+    # of all that was written only what someone quotes is kept
+    first = wrote.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    first = cut(first.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi"))
     spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = quotes.join(spread, ["conv_id", "hash", "salt"]).where(F.col("origin") < F.col("turn"))
     votes = found.groupBy("conv_id", "turn", "depth", "origin").agg(F.max("size").alias("matched"))
