@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_rank
 from .components import components
 
 #: Edge kinds.
@@ -95,8 +96,7 @@ def clusters(legs: DataFrame) -> DataFrame:
     found = wallet_components(legs)
     first = legs.groupBy("wallet").agg(F.min(F.struct("row_idx", "pos")).alias("seen"))
     roots = found.join(first, "wallet").groupBy("root", "size").agg(F.min("seen").alias("seen"))
-    # one row per component
-    numbered = roots.select("root", F.expr("row_number() OVER (ORDER BY size DESC, seen) - 1").cast("bigint").alias("cluster_id"))
+    numbered = with_rank(roots, [(-F.col("size")).alias("by_size"), F.col("seen")], "cluster_id").select("root", "cluster_id")
     return found.join(numbered, "root").select("wallet", "cluster_id", "size")
 
 
