@@ -28,8 +28,8 @@ from .common import cut, mounted_dir, table
 WORD_SHARDS = 128
 PAIRS_A_SHARD = 1_000_000
 #: Tokens counted or scored together, and distinct words whose hashes a worker keeps.
-FLUSH = 1_000_000
-CACHE = 400_000
+FLUSH = 800_000
+CACHE = 300_000
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes of the end and of the start of a text; no word is empty or holds a space.
@@ -211,11 +211,19 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
     def pairs(held: list[np.ndarray]):
         first, second = previous(held), np.concatenate(held)
         keys, at, n = np.unique(pair_hashes(first, second), return_index=True, return_counts=True)
-        yield from _dealt("pair", pair_shards(first[at], keys, hot, shards), first[at], second[at], n)
+        first, second, shard = first[at], second[at], pair_shards(first[at], keys, hot, shards)
+        order = np.lexsort((first, shard))
+        found, starts = np.unique(shard[order], return_index=True)
+        for k, own in zip(found.tolist(), np.split(order, starts[1:])):
+            # each first word once, with how many pairs it has here
+            words, runs = np.unique(first[own], return_counts=True)
+            yield "pair", int(k), _pack(words, runs, second[own], n[own])
 
     def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         """Stores a shard's pairs; gives how many kinds of word come before and after each word, by count, and counts of counts."""
-        first, second, n = _unpack(pdf["blob"], 3)
+        words, runs, second, n = _unpack(pdf["blob"], 4)
+        first = np.repeat(words, runs)
+        del words, runs
         keys = pair_hashes(first, second)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
