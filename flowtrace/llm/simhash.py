@@ -15,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
 from .common import cut, table
+from .near_copies import near_copies
 
 SEED = 42
 #: Fingerprints under one variant from which star links over two-wildcard variants take the place of pairs.
@@ -47,10 +48,13 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits((2 * set_in > n).astype(np.uint8).ravel(), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def fingerprints(text: Column, size: int = 3) -> Column:
+    @F.pandas_udf(T.LongType())
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, size) for t in texts], dtype="int64")
+
+    return prints(text)
 
 
 def _distance(a: str, b: str):
@@ -84,14 +88,14 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), size: int = 3) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id, and the columns named in keep.
 
     Null text and texts without words have fingerprint 0 and link like any other. component_id is the
     smallest id in the component (null ids count for nothing, so a component of null ids has null).
     Repeated rows stay. An empty table gives no rows.
     """
-    marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *keep))
+    marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), size).alias("fp"), *keep))
     prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     root = components(links(prints.select("fp")))
     rooted = prints.join(root, prints.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -100,15 +104,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """docs with one document of each component: the one with the smallest id, or of equal ids the smallest row hash.
 
-    A row repeated in full stays once. Null ids come after all others. Columns are those of docs.
+    Components are those of near_duplicates(), or with a similarity those of near_copies() at size words. A row
+    repeated in full stays once. Null ids come after all others. Columns are those of docs.
     """
     row_hash = F.xxhash64(*docs.columns)
-    found = near_duplicates(docs.withColumn("_row", row_hash), id_col, text_col, keep=("_row",))
-    # a component without any id has no component_id: its fingerprint stands for it
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
+    marked = docs.withColumn("_row", row_hash)
+    if similarity is None:
+        found = near_duplicates(marked, id_col, text_col, keep=("_row",), size=size)
+        # a component without any id has no component_id: its fingerprint stands for it
+        group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
+    else:
+        found = near_copies(marked, id_col, text_col, keep=("_row",), size=size, similarity=similarity)
+        group = [F.col("component")]
     rows = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     best = found.groupBy(*group).agg(F.min(rows).alias("best")).select("best.doc_id", "best._row")
     copies = found.groupBy("doc_id", "_row").agg(F.count("*").alias("_copies"))
