@@ -22,41 +22,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mounted_dir, table
+from .common import cut, mounted_dir, table, word_hashes
 
 #: Shards of the word table, and pairs that a shard of the pair table is made for.
 WORD_SHARDS = 128
 PAIRS_A_SHARD = 1_000_000
-#: Tokens counted or scored together, and distinct words whose hashes a worker keeps.
+#: Tokens counted or scored together.
 FLUSH = 800_000
-CACHE = 300_000
 
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes of the end and of the start of a text; no word is empty or holds a space.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" start")
 _BLOBS = "kind string, shard int, blob binary"
 
 
-class _Hashes(dict):
-    """A word's 64-bit hash; each word is hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 def token_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of text, A-Z in lower case, and of the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+    return np.append(word_hashes(text), np.uint64(END))
 
 
 def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:

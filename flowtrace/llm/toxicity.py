@@ -38,12 +38,14 @@ LEXICONS = {
     "hostile": "hate kill damn shut destroy despise",
     "other": "dumm idioten abschaum wertlos ekelhaft imbécile stupide minable dégoûtant estúpido inútil basura asqueroso patético",
 }
+#: Words of courtesy, whose voter speaks for clean text where the label model finds it does.
+_COURTESY = frozenset("please thanks thank welcome kindly sorry appreciate bitte danke merci pardon gracias perdón".split())
 _POINTERS = frozenset("this that these those you such der die das dieser ce cette ces el la este esta eres".split())
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 #: Learned words are dealt to so many voters, besides one for word beginnings of five and one for those of six letters.
 WORD_GROUPS = 4
-VOTERS = (*LEXICONS, *(f"words{k}" for k in range(WORD_GROUPS)), "begin5", "begin6", "pointed", "repeated", "shout", "exclaim", "silent")
+VOTERS = (*LEXICONS, *(f"words{k}" for k in range(WORD_GROUPS)), "begin5", "begin6", "pointed", "repeated", "shout", "exclaim", "silent", "courteous", "calm")
 _FIXED = {w: k for k, name in enumerate(LEXICONS) for w in LEXICONS[name].split()}
 _AT = {name: k for k, name in enumerate(VOTERS)}
 
@@ -101,6 +103,8 @@ def voter_counts(text: str | None, hits: Hits) -> list[int]:
     n[_AT["shout"]] = len(_SHOUT.findall(text))
     n[_AT["exclaim"]] = text.count("!!")
     n[_AT["silent"]] = int(not fired)
+    n[_AT["courteous"]] = sum(t.strip(_STRIP) in _COURTESY for t in tokens)
+    n[_AT["calm"]] = int(not n[_AT["shout"]] and "!" not in text)
     return n
 
 
@@ -148,9 +152,10 @@ def label_model(patterns: np.ndarray, n: np.ndarray, labelled: np.ndarray) -> tu
     """Posterior of each vote pattern, and the voters' fire rates by class and residual correlations, by expectation maximisation.
 
     patterns: votes of 0 or 1, a row per pattern; n: documents with it; labelled: how many of them are
-    labelled clean and toxic, which anchors the classes. Only voters that fire give evidence (one fires where no lexicon
-    does). It is divided by one plus what a voter's votes correlate within the classes with those of the others
-    that fire, so that copies of a vote count once.
+    labelled clean and toxic, which anchors the classes. A voter that fires and one that doesn't both give
+    evidence; "silent", "courteous" and "calm" fire on texts that lack what the others look for. A voter's evidence
+    is divided by one plus what its votes correlate within the classes with those of the others, so that
+    copies of a vote count once.
     """
     votes, anchors = patterns.astype(float), labelled.astype(float)
     free = np.maximum(n - anchors.sum(axis=1), 0)
@@ -167,15 +172,16 @@ def label_model(patterns: np.ndarray, n: np.ndarray, labelled: np.ndarray) -> tu
         covariance = sum(x.T @ x for x in residual) / max(total.sum(), 1.0)
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
         correlation = covariance / np.outer(scale, scale)
-        shared = np.clip(correlation, 0, 1) - np.eye(len(correlation))
-        discount = 1 / (1 + votes @ np.clip(shared, 0, 1))
-        odds = np.log((total[1] + 1) / (total[0] + 1)) + (votes * discount) @ np.log(rates[1] / rates[0])
+        shared = np.clip(correlation - np.eye(len(correlation)), 0, 1)
+        # voters that never fire tell nothing
+        discount = votes.any(axis=0) / (1 + shared @ votes.any(axis=0))
+        odds = np.log((total[1] + 1) / (total[0] + 1)) + votes @ (discount * np.log(rates[1] / rates[0])) + (1 - votes) @ (discount * np.log((1 - rates[1]) / (1 - rates[0])))
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior, rates, correlation
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> tuple[Toxicity, DataFrame]:
-    """The model, and docs' voter counts as (doc_id, counts).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, keep: tuple[str, ...] = ()) -> tuple[Toxicity, DataFrame]:
+    """The model, and docs' voter counts as (doc_id, counts) and the columns named in keep.
 
     labels(doc_id, toxic): rows of other labels, held-out ids or null ids aren't used; of an id with both labels the
     toxic one holds. Without any labels, the fixed lexicons and the label model stand alone.
@@ -184,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, max_train / max(1, known.count()))
     # bounded: at most about max_train rows of twelve bytes
     sample = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     model = Toxicity()
     counted = ids.join(sample, "doc_id").select("text", "toxic").mapInPandas(_term_counts, "term string, toxic long, clean long")
     summed = cut(counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST))
@@ -193,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # no more terms than the bounded sample's toxic documents have, LEAST documents each
     chosen = summed.where((F.col("toxic") >= LEAST) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     model.learned = sorted(r.term for r in chosen.select("term").collect())
-    marked = cut(ids.select("doc_id", model.counts(F.col("text")).alias("counts")))
+    marked = cut(ids.select("doc_id", model.counts(F.col("text")).alias("counts"), *keep))
     labelled = marked.join(sample, "doc_id", "left").select(fires(F.col("counts")).alias("fires"), "toxic")
     # at most two to the power of the number of voters
     rows = labelled.groupBy("fires").agg(F.count("*").alias("n"), F.sum(F.expr("int(toxic = 0)")).alias("clean"), F.sum(F.expr("int(toxic = 1)")).alias("toxic")).collect()
@@ -230,9 +236,11 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't predicted toxic."""
-    model, _ = fit(docs, labels, id_col, text_col)
-    return docs.where(model.score(model.counts(F.col(text_col))) < 0.5)
+    """The rows of docs that aren't predicted toxic. Voters see each text once: what they reject is known by two hashes of the row."""
+    row = (F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *reversed(docs.columns)))
+    model, marked = fit(docs.withColumn("_row1", row[0]).withColumn("_row2", row[1]), labels, id_col, text_col, keep=("_row1", "_row2"))
+    rejected = cut(marked.where(model.score(F.col("counts")) >= 0.5).select("_row1", "_row2").distinct())
+    return docs.join(rejected, (row[0] == F.col("_row1")) & (row[1] == F.col("_row2")), "left_anti")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

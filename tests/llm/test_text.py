@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -268,6 +269,67 @@ def test_toxicity(spark):
     assert {r.doc_id: r.predicted for r in alone}[400] == 0
 
 
+def test_label_model_against_a_plain_em():
+    """Per document and voter, in plain loops, from a generative model with three honest voters, one copy and one useless voter."""
+    at, width = toxicity._AT, len(toxicity.VOTERS)
+    own = random.Random(3)
+    names = ["insult", "words0", "shout", "exclaim", "calm"]
+    on = {"insult": (0.05, 0.8), "shout": (0.1, 0.7), "exclaim": (0.3, 0.3), "calm": (0.8, 0.2)}
+    docs = []
+    for k in range(3000):
+        y = int(own.random() < 0.3)
+        fired = {n for n, p in on.items() if own.random() < p[y]}
+        fired |= {"words0"} if "insult" in fired else set()
+        docs.append((tuple(int(v in {at[n] for n in fired}) for v in range(width)), y if k % 4 == 0 else None))
+    keys = sorted({d[0] for d in docs})
+    n, known = Counter(d[0] for d in docs), Counter(d for d in docs if d[1] is not None)
+    got, rates, correlation = toxicity.label_model(np.array(keys), np.array([n[k] for k in keys]), np.array([[known[k, 0], known[k, 1]] for k in keys]))
+    post = {k: 0.9 if any(k[: at["begin6"] + 1]) else 0.02 for k in keys}
+    for step in range(toxicity.ROUNDS):
+        mass = [[0.0] * len(docs), [0.0] * len(docs)]
+        for d, (k, y) in enumerate(docs):
+            if y is not None:
+                mass[y][d] = 1.0
+            elif step:
+                mass[0][d], mass[1][d] = 1 - post[k], post[k]
+        total = [sum(m) for m in mass]
+        rate = [[(sum(m * d[0][v] for m, d in zip(mass[c], docs)) + 0.5) / (total[c] + 1) for v in range(width)] for c in (0, 1)]
+        live = [v for v in range(width) if any(k[v] for k in keys)]
+        cov = {(u, v): sum(m * (d[0][u] - rate[c][u]) * (d[0][v] - rate[c][v]) for c in (0, 1) for m, d in zip(mass[c], docs)) / sum(total) for u in live for v in live}
+        cor = {(u, v): cov[u, v] / math.sqrt(cov[u, u] * cov[v, v]) for u in live for v in live}
+        for k in keys:
+            odds = math.log((total[1] + 1) / (total[0] + 1))
+            for v in live:
+                p = [rate[c][v] if k[v] else 1 - rate[c][v] for c in (0, 1)]
+                odds += math.log(p[1] / p[0]) / (1 + sum(min(max(cor[u, v], 0), 1) for u in live if u != v))
+            post[k] = 1 / (1 + math.exp(-odds))
+        if step == 2:
+            break
+    short = toxicity.ROUNDS
+    toxicity.ROUNDS = 3
+    try:
+        three, _, _ = toxicity.label_model(np.array(keys), np.array([n[k] for k in keys]), np.array([[known[k, 0], known[k, 1]] for k in keys]))
+    finally:
+        toxicity.ROUNDS = short
+    assert three == pytest.approx([post[k] for k in keys], abs=1e-4)
+    assert rates[1][at["insult"]] == pytest.approx(0.8, abs=0.06) and rates[0][at["insult"]] == pytest.approx(0.05, abs=0.05) and rates[1][at["calm"]] < 0.35 < 0.65 < rates[0][at["calm"]]
+    assert correlation[at["insult"]][at["words0"]] > 0.95 and abs(correlation[at["insult"]][at["shout"]]) < 0.3
+
+
+def test_toxicity_of_awkward_rows(spark):
+    bad = "you worthless idiot!! "
+    rows = [(k, f"calm words about the garden number {k} and the sea", k) for k in range(40)] + [(100 + k, bad + f"pathetic moron {k}", k) for k in range(20)]
+    rows += [(7, rows[7][1], 7), (7, rows[7][1], 7), (100, rows[40][1], 0), (500, "fine words " * 60_000, 1), (501, "fine words " * 60_000 + bad * 300, 1), (None, bad, 2), (502, "", 3), (503, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row1 long").repartition(3)
+    labels = spark.createDataFrame([(k, 0) for k in range(40)] + [(k, 1) for k in range(100, 120)] + [(100, 0), (100, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.predictions(docs, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    by = {r.doc_id: r.predicted for r in got}
+    assert by[500] == by[502] == by[503] == by[7] == 0 and by[501] == by[None] == by[100] == 1
+    kept = Counter(r.doc_id for r in toxicity.accepted(docs.withColumnRenamed("_row1", "row_1"), labels).collect())
+    assert kept == Counter(r.doc_id for r in got if r.predicted == 0) and kept[7] == 3
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
