@@ -3,8 +3,9 @@
 Each source's documents, in hashed order, form one stream that is cut into blocks of equal words. The
 schedule's slots are golden-ratio points on the unit interval, which the sources share by their
 targets; a slot takes the next block of the source whose part its point falls into, starting over when
-the stream ends. Ranks and prefix sums are counted in two levels, within small groups and over the
-groups, so that a source of any size is spread over all tasks.
+the stream ends. What a source gives is what its slots take: how near that comes to its target is the
+points' discrepancy, a few blocks of the many thousand. Ranks and prefix sums are counted in two
+levels, within groups and over the groups, so that a source of any size is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -14,25 +15,31 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, words
 
-#: Words in a block.
-BLOCK = 1024
+#: Words in a block: a mix of fewer than SLOTS blocks of the largest size has smaller ones, down to the least.
+LEAST_BLOCK, MOST_BLOCK, SLOTS = 16, 1024, 16384
 #: Weights of the sources in code point order, over and over.
 WEIGHTS = (3, 1, 2)
 #: Words that the mix takes, as a share of all words, and how often it may take a document at most.
 SHARE, REPEATS = 1.5, 2
-#: Slots ranked together.
-CHUNK = 512
+#: Slots ranked together, and how many such groups there are at most (beyond that, groups grow).
+CHUNK, CHUNKS = 512, 1 << 16
+#: Documents from which a stream has more buckets.
+MANY = 100_000_000
 #: Cells of the unit interval, by which slots meet the sources whose parts lie there.
 CELLS = 1024
 #: The points are multiples of 2**31 divided by the golden ratio, modulo 2**31: exact in whole numbers.
 MODULUS, STEP = 1 << 31, 1327217885
 
 
+def key_of(id_col: str, text_col: str) -> Column:
+    """The hash that orders a source's stream and knows a row by its id and text."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size in words, and key: the hash that orders a source's stream."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), key.alias("key"), *keep)
+    size = F.size(words(F.col(text_col))).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key_of(id_col, text_col).alias("key"), *keep)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -56,52 +63,60 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """sizes with source_no, source_size, target, quota and start: the words before the document in its source's stream."""
-    numbered = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select(sizes["*"], "source_no", "source_size", "target", "quota")
-    numbered = numbered.withColumn("bucket", F.substring("key", 1, 3))
+    """sizes with source_no, source_size, target and start: the words before the document in its source's stream."""
+    numbered = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select(sizes["*"], "source_no", "source_size", "target")
+    # the keys are hashes, so buckets are alike in size
+    numbered = numbered.withColumn("bucket", F.substring("key", 1, 3 if sizes.count() < MANY else 5))
     buckets = numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     before = buckets.select("source_no", "bucket", F.expr("sum(words) OVER (PARTITION BY source_no ORDER BY bucket) - words").alias("before"))
     within = F.expr("sum(size) OVER (PARTITION BY source_no, bucket ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size")
     return numbered.join(before, ["source_no", "bucket"]).withColumn("start", F.col("before") + within).drop("bucket", "before")
 
 
-def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(slot, source_no, turn): the source of every slot and which of its turns it is, from 0.
+def block_words(total: int) -> int:
+    """Words in a block of a mix of total words."""
+    return max(LEAST_BLOCK, min(MOST_BLOCK, total // SLOTS))
+
 
-    A source has as many turns as its quota has blocks, the last one perhaps cut short. The few that
-    the points leave out (their discrepancy grows with the logarithm of the slots) come at the end.
+def schedule(sources: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:
+    """(slot, source_no, turn), and the words in a block: the source of every slot and which of its turns it is, from 0.
+
+    There are as many slots as the quotas have blocks. How many of them a source has is what the points give it.
     """
     spark = sources.sparkSession
-    parts = cut(sources.select("source_no", F.ceil(F.col("quota") / block).alias("turns")).where("turns > 0").withColumn("high", F.expr("sum(turns) OVER (ORDER BY source_no)")))
+    parts = cut(sources.select("source_no", "quota").where("quota > 0").withColumn("high", F.expr("sum(quota) OVER (ORDER BY source_no)")))
     total = int(parts.agg(F.coalesce(F.max("high"), F.lit(0))).first()[0])
-    parts = parts.withColumn("low", F.col("high") - F.col("turns"))
+    block = block or block_words(total)
+    n_slots = -(-total // block)
+    parts = parts.withColumn("low", F.col("high") - F.col("quota"))
     cell_of = lambda x: F.floor(x / total * CELLS) if total else F.lit(0).cast("long")
     covered = parts.withColumn("cell", F.explode(F.sequence(cell_of(F.col("low")), cell_of(F.col("high")))))
     point = (F.col("slot") % MODULUS * STEP % MODULUS) / MODULUS * total
-    slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", cell_of(F.col("point")))
-    drawn = slots.join(covered, "cell").where("point >= low AND point < high").select("slot", "source_no", "turns", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    counts = cut(drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"), F.first("turns").alias("turns")))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", cell_of(F.col("point")))
+    chunk = F.floor(F.col("slot") / max(CHUNK, -(-n_slots // CHUNKS)))
+    drawn = slots.join(covered, "cell").where("point >= low AND point < high").select("slot", "source_no", chunk.alias("chunk"))
+    counts = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("source_no", "chunk", F.expr("sum(n) OVER (PARTITION BY source_no ORDER BY chunk) - n").alias("before"))
     turn = F.col("before") + F.expr("row_number() OVER (PARTITION BY source_no, chunk ORDER BY slot)") - 1
-    ranked = drawn.join(before, ["source_no", "chunk"]).withColumn("turn", turn).where("turn < turns").select("slot", "source_no", "turn")
-    had = counts.groupBy("source_no").agg(F.sum("n").alias("had"))
-    missing = parts.join(had, "source_no", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < turns")
-    late = missing.select(F.lit(total).cast("long").alias("slot"), "source_no", F.explode(F.sequence("had", F.col("turns") - 1)).alias("turn"))
-    return ranked.union(late)
+    return cut(drawn.join(before, ["source_no", "chunk"]).withColumn("turn", turn).select("slot", "source_no", "turn")), block
+
 
+def pieces(placed: DataFrame, slots: DataFrame, block: int, repeats: int = REPEATS) -> DataFrame:
+    """Which words of which document every slot takes: slot, source_no, turn, pass, from_word, n_words and placed's columns.
 
-def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """Which words of which document every slot takes: slot, source_no, turn, pass, from_word, n_words and placed's columns."""
-    passes = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    virtual = passes.withColumn("first", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("quota"))).where("first < end")
+    A stream that was gone through repeats times gives no more: later slots of its source stay empty.
+    """
+    limits = slots.groupBy("source_no").agg((F.count("*") * block).alias("limit"))
+    passes = placed.where("size > 0").join(limits, "source_no").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    virtual = passes.withColumn("first", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("limit"))).where("first < end")
     cells = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("end") - 1) / block))
     parts = virtual.withColumn("turn", F.explode(cells))
     begin, stop = F.greatest("first", F.col("turn") * block), F.least("end", (F.col("turn") + 1) * block)
     joined = parts.join(slots, ["source_no", "turn"])
-    return joined.withColumn("from_word", begin - F.col("first")).withColumn("n_words", stop - begin).drop("first", "end")
+    return joined.withColumn("from_word", begin - F.col("first")).withColumn("n_words", stop - begin).drop("first", "end", "limit")
 
 
-def mixture(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mixture(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of sized documents, their places in the streams and the pieces that the mix takes, in slots.
 
     A null source is a source of its own. Documents without words are placed and never taken. Rows
@@ -110,15 +125,29 @@ def mixture(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sizes = cut(sizes)
     sources = cut(targets(sizes, weights, share, repeats))
     placed = cut(streams(sizes, sources))
-    return placed, pieces(placed, schedule(sources, block), block, repeats)
+    slots, words_each = schedule(sources, block)
+    return placed, pieces(placed, slots, words_each, repeats)
 
 
 def taken(placed: DataFrame, parts: DataFrame) -> DataFrame:
-    """placed with taken: how many of its words the mix takes, repeats counted."""
+    """placed with taken: how many of its words the mix takes, repeats counted; n_pieces, first_slot and last_slot: where."""
     # a place in a stream is the key: doc ids may be null or repeat
-    total = parts.groupBy("source_no", "start").agg(F.sum("n_words").alias("n"))
-    has = placed.where("size > 0").join(total, ["source_no", "start"], "left").withColumn("taken", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
-    return has.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    total = parts.groupBy("source_no", "start").agg(F.sum("n_words").alias("taken"), F.count("*").alias("n_pieces"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    has = placed.where("size > 0").join(total, ["source_no", "start"], "left")
+    return has.unionByName(placed.where("size = 0"), allowMissingColumns=True).na.fill(0, ["taken", "n_pieces"])
+
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
+    """(slot, source, n_words, text) in order of slot: the mix itself, a row per slot that takes words, documents joined by spaces.
+
+    A row holds a block's words at most. Rows equal in id and text are interchangeable and are read once.
+    """
+    _, parts = mixture(sized(docs, id_col, text_col, source_col), **rules)
+    texts = docs.select(F.col(text_col).alias("text"), key_of(id_col, text_col).alias("key")).dropDuplicates(["key"])
+    cutout = F.array_join(F.slice(words(F.col("text")), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
+    each = parts.select("slot", "source", "pass", "start", "n_words", "from_word", "key").join(texts, "key").select("slot", "source", "n_words", F.struct("pass", "start", cutout.alias("words")).alias("piece"))
+    whole = each.groupBy("slot", "source").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list("piece")).alias("p"))
+    return whole.select("slot", "source", "n_words", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("text")).orderBy("slot")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -127,34 +156,33 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
-    """The mix as documents: a row for each time that a document is taken, its text cut where the mix stops short.
+    """The mix as documents, in order of their first slots: a row for each time that a document is taken, its text cut where the mix stops short.
 
     What a pass takes of a document is always its beginning. Columns are those of docs, n_chars (where
     there is one) counted anew.
     """
     placed, parts = mixture(sized(docs, id_col, text_col, source_col), **rules)
-    each = parts.groupBy("source_no", "start", "pass").agg(F.sum("n_words").alias("n"), F.first("key").alias("_key"), F.first("size").alias("_size"))
+    each = parts.groupBy("source_no", "start", "pass").agg(F.sum("n_words").alias("n"), F.min("slot").alias("slot"), F.first("key").alias("_key"), F.first("size").alias("_size"))
     # copies of a row share its key: each takes one element of takes, in any order
-    per_row = each.groupBy("_key", "_size", "source_no", "start").agg(F.sort_array(F.collect_list("n"), asc=False).alias("_n"))
+    per_row = each.groupBy("_key", "_size", "source_no", "start").agg(F.sort_array(F.collect_list(F.struct("n", "slot")), asc=False).alias("_n"))
     takes = cut(per_row.groupBy("_key", "_size").agg(F.collect_list("_n").alias("_takes")))
     copies = placed.groupBy("key").agg(F.count("*").alias("_copies"))
     takes = takes.join(copies, takes._key == copies.key).drop("key")
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    rows = docs.join(takes, key == F.col("_key"))
+    rows = docs.join(takes, key_of(id_col, text_col) == F.col("_key"))
     once = rows.where("_copies = 1").withColumn("_take", F.element_at("_takes", 1))
     more = rows.where("_copies > 1").withColumn("_no", F.expr("row_number() OVER (PARTITION BY _key ORDER BY _key)"))
     more = more.where(F.col("_no") <= F.size("_takes")).withColumn("_take", F.element_at("_takes", F.col("_no"))).drop("_no")
     out = once.unionByName(more).withColumn("_taken", F.explode("_take"))
-    text = F.when(F.col("_taken") < F.col("_size"), first_words(F.col(text_col), F.col("_taken"))).otherwise(F.col(text_col))
+    text = F.when(F.col("_taken.n") < F.col("_size"), first_words(F.col(text_col), F.col("_taken.n"))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.orderBy("_taken.slot").select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, parts = mixture(sized(table(spark, sf_dir, "documents")))
-    return taken(placed, parts).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(placed, parts).select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "first_slot", "last_slot")
 
 
 OP1_SQL = r"""
@@ -175,12 +203,28 @@ WITH d AS (
 ), f AS (
   SELECT level AS chosen FROM l WHERE level <= ratio ORDER BY ratio, no LIMIT 1
 ), t AS (
-  SELECT source, source_size, least(most::DOUBLE, coalesce((SELECT chosen FROM f) * weight, most::DOUBLE)) AS target FROM l
+  SELECT source, no, source_size, least(most::DOUBLE, coalesce((SELECT chosen FROM f) * weight, most::DOUBLE)) AS target FROM l
+), q AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS quota, sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY no) AS high FROM t
+), k AS (
+  SELECT greatest(16, least(1024, coalesce(max(high), 0) // 16384))::BIGINT AS block, coalesce(max(high), 0)::BIGINT AS total FROM q
+), points AS (
+  SELECT slot, ((slot % 2147483648) * 1327217885 % 2147483648) / 2147483648::DOUBLE * total AS point
+  FROM (SELECT unnest(range(((total + block - 1) // block)::BIGINT)) AS slot, total FROM k)
+), turns AS (
+  SELECT no, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS turn FROM points JOIN q ON point >= high - quota AND point < high
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+  SELECT row_number() OVER () AS r, d.doc_id, d.size, t.no, t.source_size, t.target,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), v AS (
+  SELECT r, no, start + pass * source_size AS first, least(start + pass * source_size + size, (SELECT count(*) FROM turns WHERE turns.no = p.no) * block) AS stop, block
+  FROM p, k, (SELECT unnest([0, 1]) AS pass) WHERE size > 0
+), u AS (
+  SELECT v.*, unnest(range((first // block)::BIGINT, ((stop - 1) // block + 1)::BIGINT)) AS turn FROM v WHERE first < stop
+), got AS (
+  SELECT r, sum(least(stop, (u.turn + 1) * block) - greatest(first, u.turn * block))::BIGINT AS taken, count(*) AS n_pieces, min(slot) AS first_slot, max(slot) AS last_slot
+  FROM u JOIN turns ON turns.no = u.no AND turns.turn = u.turn GROUP BY r
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size)))::BIGINT AS taken FROM p
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_pieces, 0) AS n_pieces, first_slot, last_slot FROM p LEFT JOIN got USING (r)
 """

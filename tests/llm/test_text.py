@@ -156,12 +156,25 @@ def test_mixing(docs, rows):
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and r.taken <= 2 * r.size
         took[r.source] += r.taken
-    assert all(abs(took[s] - target[s]) <= 1 for s in order)
+    # the golden-ratio points in plain arithmetic: a source takes what its slots hold
+    quota = [math.floor(target[s] + 0.5) for s in order]
+    ends = list(itertools.accumulate(quota))
+    turns = {s: [] for s in order}
+    for slot in range(-(-ends[-1] // 16)):
+        point = slot * 1327217885 % 2**31 / 2**31 * ends[-1]
+        turns[next(s for s, e in zip(order, ends) if point < e)].append(slot)
+    for s in order:
+        assert took[s] == min(len(turns[s]) * 16, 2 * size[s]) and abs(took[s] - target[s]) <= 4 * 16
+    used = {(r.source_no, r.turn): r.slot for r in parts.select("source_no", "turn", "slot").collect()}
+    assert used and all(turns[order[no - 1]][turn] == slot for (no, turn), slot in used.items())
     seen = parts.groupBy("source_no", "turn").agg(F.countDistinct("slot").alias("slots"), F.sum("n_words").alias("n")).collect()
     assert all(r.slots == 1 and r.n <= 16 for r in seen)
     out = mixing.mixed(docs, block=16)
     assert out.columns == docs.columns
     assert sum(len(WORD.findall(r.text or "")) for r in out.collect()) == sum(took.values())
+    laid = mixing.blocks(docs, block=16).collect()
+    assert [r.slot for r in laid] == sorted(used.values() and set(used.values()))
+    assert all(len(WORD.findall(r.text)) == r.n_words <= 16 for r in laid) and Counter(r.source for r in laid for _ in range(r.n_words)) == +took
 
 
 def test_pii(docs, rows):
