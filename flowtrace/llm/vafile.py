@@ -1,28 +1,36 @@
 """Exact top-k inner products with a vector-approximation file.
 
-Every vector is kept a second time as one byte per dimension, the number of its cell on a grid over
-the range of all components. Scanning the bytes gives each inner product to within an interval of the
-query's own width. Exact vectors are read only for the k best by that bound, and then for those whose
-bound still reaches the kth exact score, after which the result is certain.
+Every vector is kept a second time as one byte per dimension: the number of its cell among that
+dimension's quantiles, so that an outlier widens no cell but its own. Blocks of queries meet groups of
+cells by a join; scanning the bytes bounds each inner product from below and above. Exact vectors are
+read first for the k best lower bounds, and then for those whose upper bound still reaches the kth exact
+score, after which the result is certain. Queries, cells and candidates stay in tables throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Queries per scan: what a scan sends to every task is at most so many vectors.
-BLOCK = 4096
-#: Vectors bounded against a block at once.
-CHUNK = 4096
+#: Queries in a block, and vectors that one step bounds against it.
+BLOCK, CHUNK = 1024, 4096
+#: Vectors in a group at least, and how many groups there are at most (beyond that, groups grow).
+GROUP, GROUPS = 8192, 4096
+#: Vectors whose quantiles set the cells (the bounds hold for any), drawn by hash.
+SAMPLE = 16384
 CELLS = 256
+#: Parts that a query's scores are ranked in before they meet.
+SALTS = 32
+#: Bounds are summed twice over in floating point: exact below this.
+LIMIT = 1 << 52
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def integers(vector: Column, scale: int = 1024) -> Column:
@@ -32,40 +40,51 @@ def integers(vector: Column, scale: int = 1024) -> Column:
     return F.when(ok, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Of each row, the k largest scores."""
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k:] if scores.shape[1] > k else scores
+def _cells(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per dimension, the values at which cells 1 to CELLS - 1 begin, and the least and greatest value of each cell."""
+    inner = np.quantile(sample, np.linspace(0, 1, CELLS - 1), axis=0, method="lower").astype(np.int64).T
+    inner[:, -1] += 1  # what lies above the sample has a cell of its own
+    least = np.hstack([np.minimum(low, inner[:, 0])[:, None], inner])
+    greatest = np.hstack([inner - 1, np.maximum(high, inner[:, -1])[:, None]])
+    return inner, least, np.maximum(greatest, least)
 
 
-def _scanner(ids: np.ndarray, queries: np.ndarray, k: int, low: int, width: int):
-    """A function over batches of (vec_id, hash, cells) that yields (query_id, vec_id, hash, bound) of all that may be among the k best.
+def _scanner(least: np.ndarray, greatest: np.ndarray, k: int):
+    """A function of a block of queries and a group of cells that gives (query_id, vec_id, hash, part, lower, upper) of all that may be among the k best.
 
-    bound is the inner product with the cell's lower corner. The true one is no further from it than
-    reach, so whatever lies reach * 2 below the kth bound so far is out for good.
+    Bounds are doubled, which keeps them whole. A vector whose upper bound stays under the kth lower bound is out for good.
     """
-    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    reach = (width - 1) * (positive - negative).sum(axis=1).astype(np.float64)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("hash", pa.int64()), ("bound", pa.float64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = queries.astype(np.float64)
-        best = np.full((len(ids), k), -np.inf)
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                own, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
-                # of equal vectors only the k + 1 smallest ids can be in a result, the query itself aside
-                order = np.lexsort((own, hashes))
-                run = np.r_[0, np.flatnonzero(np.diff(hashes[order])) + 1]
-                rank = np.arange(len(order)) - np.repeat(run, np.diff(np.r_[run, len(order)]))
-                rows = np.sort(order[rank <= k])
-                cells = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)[rows]
-                own, hashes = own[rows], hashes[rows]
-                bound = q @ (low + width * cells.astype(np.float64)).T
-                bound[ids[:, None] == own[None, :]] = -np.inf
-                best = _best(np.hstack([best, _best(bound, k)]), k)
-                which, row = np.nonzero((bound >= (best.min(axis=1) - reach)[:, None]) & (bound > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(own[row]), pa.array(hashes[row]), pa.array(bound[which, row])], schema=schema)
+    twice_mid, width = (least + greatest).astype(np.float64), (greatest - least).astype(np.float64)
+    dims = np.arange(len(least))
+
+    def scan(key: tuple, asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(stored):
+            ids = asked["query_id"].to_numpy()
+            q = np.array(asked["q"].tolist(), dtype=np.float64)
+            own, hashes = (np.frombuffer(b"".join(stored[c]), dtype=np.int64) for c in ("ids", "hashes"))
+            # of equal vectors only the k + 1 smallest ids can be in a result, the query itself aside; a repeated row counts once
+            order = np.lexsort((own, hashes))
+            order = order[np.r_[True, (np.diff(own[order]) != 0) | (np.diff(hashes[order]) != 0)]]
+            run = np.r_[0, np.flatnonzero(np.diff(hashes[order])) + 1]
+            rank = np.arange(len(order)) - np.repeat(run, np.diff(np.r_[run, len(order)]))
+            rows = np.sort(order[rank <= k])
+            cells = np.frombuffer(b"".join(stored["cells"]), dtype=np.uint8).reshape(-1, len(least))[rows]
+            own, hashes = own[rows], hashes[rows]
+            best, kept = np.full((len(ids), k), -np.inf), []
+            for at in range(0, len(own), CHUNK):
+                part, some = cells[at : at + CHUNK], own[at : at + CHUNK]
+                mid, reach = q @ twice_mid[dims, part].T, np.abs(q) @ width[dims, part].T
+                lower = mid - reach
+                lower[ids[:, None] == some[None, :]] = -np.inf
+                both = np.hstack([best, lower])
+                best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                which, row = np.nonzero((mid + reach >= best.min(axis=1)[:, None]) & (lower > -np.inf))
+                kept.append((which, row + at, lower[which, row], (mid + reach)[which, row]))
+            which, row, lower, upper = (np.concatenate(x) for x in zip(*kept))
+            still = upper >= best.min(axis=1)[which]
+            found = [ids[which[still]], own[row[still]], hashes[row[still]], np.full(still.sum(), key[1]), lower[still], upper[still]]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "hash", "part", "lower", "upper"), found or [[]] * 6)))
 
     return scan
 
@@ -75,52 +94,89 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part,
     nor do rows with a null id or empty vectors; only vectors of one length are compared. A row repeated
-    with id and vector counts once. Products must stay below 2**53. An empty table gives no rows.
+    with id and vector counts once; ids are taken to stand for one vector each. Components so large that
+    products might pass 2**51 raise ValueError. An empty table gives no rows.
     """
-    exact = vectors.select(F.col(id_col).alias("vec_id"), is_query.alias("asks"), integers(F.col(vector_col), scale).alias("v"))
+    exact = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"), integers(F.col(vector_col), scale).alias("v"))
     exact = exact.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).withColumn("hash", F.xxhash64("v"))
-    sizes = exact.groupBy(F.size("v").alias("n")).agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high"), F.sum(F.col("asks").cast("long")).alias("asks")).collect()
-    found = [_of_length(exact.where(F.size("v") == s.n), int(s.n), int(s.low), int(s.high), int(s.asks), k) for s in sizes if s.asks]
+    largest = F.max(F.greatest(F.abs(F.array_min("v").cast("double")), F.abs(F.array_max("v").cast("double"))))
+    sizes = exact.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("all"), largest.alias("largest"), F.count_if("asks").alias("asks")).collect()
+    for s in sizes:
+        if 4 * s.n * s.largest * s.largest >= LIMIT * 2:
+            raise ValueError(f"inner products of {s.n} components up to {s.largest:.0f} pass what is exact")
+    found = [_of_length(exact.where(F.size("v") == s.n), int(s.n), int(s.all), int(s.asks), k) for s in sizes if s.asks]
     if not found:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return vectors.sparkSession.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, found)
 
 
-def _of_length(exact: DataFrame, n: int, low: int, high: int, n_queries: int, k: int) -> DataFrame:
-    width = -(-(high - low + 1) // CELLS)
+def approximations(exact: DataFrame, n: int, n_vectors: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(group, ids, hashes, cells) in chunks of vectors, and the cells' least and greatest values by dimension."""
 
-    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounds(batches):
+        low = high = None
         for b in batches:
-            v = b.column(2).flatten().to_numpy().reshape(-1, n)
-            cells = ((v - low) // width).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([row.tobytes() for row in cells], pa.binary())], names=["vec_id", "hash", "cells"])
-
-    cells = cut(exact.select(F.col("vec_id").cast("long").alias("vec_id"), "hash", "v").mapInArrow(quantise, "vec_id long, hash long, cells binary"))
-    queries = cut(exact.where("asks").select(F.col("vec_id").cast("long").alias("query_id"), F.col("v").alias("q")).distinct())
-    blocks, scans = -(-n_queries // BLOCK), []
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if rows:
-            ids, asked = np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.q for r in rows], dtype=np.int64)
-            scans.append(cells.mapInArrow(_scanner(ids, asked, k, low, width), "query_id long, vec_id long, hash long, bound double"))
-    candidates = reduce(DataFrame.union, scans).distinct()
-    # exact <= bound + up and exact >= bound - down, by the query's own width
-    spread = lambda keep: F.aggregate(F.filter("q", keep), F.lit(0).cast("long"), lambda a, x: a + F.abs(x)) * (width - 1)
-    asked = queries.select("query_id", "q", spread(lambda x: x > 0).alias("up"), (spread(lambda x: x > 0) + spread(lambda x: x < 0)).alias("reach"))
-    ranked = candidates.withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, vec_id)"))
-    ranked = ranked.withColumn("kth", F.expr(f"max(CASE WHEN place = {k} THEN bound END) OVER (PARTITION BY query_id)")).join(asked, "query_id")
-    ranked = cut(ranked.where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - F.col("reach"))))
-    vectors = exact.select(F.col("vec_id").cast("long").alias("vec_id"), "hash", "v")
+            v = b.column(0).flatten().to_numpy().reshape(-1, n)
+            if len(v):
+                low, high = (v.min(axis=0), v.max(axis=0)) if low is None else (np.minimum(low, v.min(axis=0)), np.maximum(high, v.max(axis=0)))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([high.tolist()], pa.list_(pa.int64()))], names=["low", "high"])
+
+    each = F.posexplode(F.arrays_zip("low", "high")).alias("dim", "x")
+    rows = exact.select("v").mapInArrow(bounds, "low array<long>, high array<long>").select(each).groupBy("dim").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high")).orderBy("dim").collect()  # a row per dimension
+    sample = exact.orderBy(F.xxhash64("hash")).select("v").limit(SAMPLE).collect()  # bounded by SAMPLE
+    inner, least, greatest = _cells(np.array([r.v for r in sample], dtype=np.int64), np.array([r.low for r in rows]), np.array([r.high for r in rows]))
+
+    def quantise(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                v = part.column(2).flatten().to_numpy().reshape(-1, n)
+                cells = np.stack([np.searchsorted(inner[d], v[:, d], side="right") for d in range(n)], axis=1).astype(np.uint8)
+                ids, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                columns = [pa.array([int(ids[0] ^ hashes[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([hashes.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "ids", "hashes", "cells"])
+
+    groups = max(1, min(GROUPS, -(-n_vectors // GROUP)))
+    chunks = exact.select("vec_id", "hash", "v").mapInArrow(quantise, "group long, ids binary, hashes binary, cells binary")
+    return cut(chunks.withColumn("group", F.pmod(F.xxhash64("group"), F.lit(groups)))), least, greatest
+
+
+def candidates(exact: DataFrame, queries: DataFrame, n: int, n_vectors: int, n_queries: int, k: int) -> DataFrame:
+    """(query_id, vec_id, hash, part, lower, upper): by group, the vectors that may be among a query's k best."""
+    stored, least, greatest = approximations(exact, n, n_vectors)
+    blocks, groups = -(-n_queries // BLOCK), max(1, min(GROUPS, -(-n_vectors // GROUP)))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
+    dealt = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    scan = _scanner(least, greatest, k)
+    return cut(asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(scan, "query_id long, vec_id long, hash long, part long, lower double, upper double"))
+
+
+def _top(rows: DataFrame, by: Column, k: int) -> DataFrame:
+    """(query_id, top): the k greatest values of by, ranked in parts of each query first."""
+    first = lambda c: F.slice(F.sort_array(c, asc=False), 1, k)
+    parts = rows.groupBy("query_id", F.pmod("vec_id", F.lit(SALTS)).alias("salt")).agg(first(F.collect_list(by)).alias("top"))
+    return parts.groupBy("query_id").agg(first(F.flatten(F.collect_list("top"))).alias("top"))
+
+
+def _of_length(exact: DataFrame, n: int, n_vectors: int, n_queries: int, k: int) -> DataFrame:
+    queries = cut(exact.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct())
+    found = candidates(exact, queries, n, n_vectors, n_queries, k)
+    kth = _top(found, F.col("lower"), k).select("query_id", F.when(F.size("top") >= k, F.element_at("top", k)).alias("kth"))
+    likely = cut(found.join(kth, "query_id").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))))
+    vectors = exact.select("vec_id", "hash", "v")
 
     def read(pairs: DataFrame) -> DataFrame:
         score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-        return pairs.join(vectors, ["vec_id", "hash"]).select("query_id", "vec_id", score.alias("score")).distinct()
+        return pairs.join(vectors, ["vec_id", "hash"]).join(queries, "query_id").select("query_id", "vec_id", score.alias("score")).distinct()
 
-    first = cut(read(ranked.where(F.col("place") <= k)))
+    early = F.col("kth").isNull() | (F.col("lower") >= F.col("kth"))
+    first = cut(read(likely.where(early)))
     sure = first.groupBy("query_id").agg(F.min("score").alias("certain"))
-    rest = read(ranked.where(F.col("place") > k).join(sure, "query_id").where(F.col("bound") + F.col("up") >= F.col("certain")))
-    best = first.union(rest).withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)").cast("int"))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rest = read(likely.where(~early).join(sure, "query_id").where(F.col("upper") >= 2 * F.col("certain")))
+    best = _top(first.union(rest), F.struct("score", (-F.col("vec_id")).alias("id")), k)
+    out = best.select("query_id", F.posexplode("top").alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("x.id")).alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +185,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)])::BIGINT AS score

@@ -48,6 +48,7 @@ def test_long_reply_chain(spark):
 def test_top_k(spark):
     rng = random.Random(5)
     rows = [(k, [rng.gauss(0, 0.3) for _ in range(8)]) for k in range(1200)]
+    rows += [rows[100], rows[100], rows[5], rows[5]]
     rows += [(2000 + k, rows[7][1]) for k in range(60)] + [(3000, None), (3100, [1.0, None] * 4), (3200, [float("nan")] * 8), (3300, [float("inf")] * 8), (3400, []), (3500, [0.5] * 3), (None, [0.1] * 8), (4000, [-3.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("hash", F.lit("own")).repartition(5)
     got = vafile.top_k(df, F.col("vec_id") % 100 == 0, k=10).collect()
@@ -64,6 +65,30 @@ def test_top_k(spark):
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_candidates_beside_an_outlier(spark):
+    import numpy as np
+    import pytest
+
+    own = np.random.default_rng(2)
+    v = own.normal(0, 0.3, (3000, 16))
+    v[5, 3], v[9, 0] = 1000.0, -1000.0
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    exact = df.select("vec_id", (F.col("vec_id") % 100 == 0).alias("asks"), vafile.integers(F.col("embedding")).alias("v")).withColumn("hash", F.xxhash64("v"))
+    queries = exact.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    n = vafile.candidates(exact, queries, 16, 3000, 30, 10).count()
+    assert 30 * 10 <= n < 0.05 * 30 * 3000
+    whole = np.floor(1024 * v).astype(np.int64)
+    got = {}
+    for r in vafile.top_k(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 3000, 100):
+        score = whole @ whole[q]
+        assert got[q] == [(int(i), int(score[i])) for i in np.lexsort((np.arange(3000), -score)) if i != q][:10]
+    large = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        vafile.top_k(large, F.col("vec_id") % 100 == 0)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
