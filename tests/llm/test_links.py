@@ -22,6 +22,29 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_real_files(spark):
+    """Notices and licence files as they are found, wrapped in comments."""
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n\nint main;\n"
+    lgpl = "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\n#\nimport os\n"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n  The licenses for most software and other practical works are designed\nto take away your freedom to share and change the works.\n\n  13. Use with the GNU Affero General Public License.\n\n  Notwithstanding any other provision of this License, you have\npermission to link or combine any covered work with a work licensed\nunder version 3 of the GNU Affero General Public License into a single\ncombined work, and to convey the resulting work.\n"
+    clauses = ["Copyright (c) 2021, Some One\nAll rights reserved.\n", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n", "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n",
+               "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n", "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", licenses._BSD_LIABILITY]
+    want = {
+        "g/COPYING": ("GPL-3.0", gpl), "b3/LICENSE": ("BSD-3-Clause", "\n".join(clauses)), "b2/LICENSE": ("BSD-2-Clause", "\n".join(clauses[:4] + clauses[5:])), "i/LICENSE.md": ("ISC", "ISC License\n\nCopyright (c) 2020 A. Person\n\n" + dict(licenses.TEXTS[6:7])["ISC"]),
+        "m/whole": ("MIT", "MIT License\n\nCopyright (c) 2019 Some One\n\n" + licenses._MIT_GRANT + "\n\n" + licenses._MIT_REST), "n/x.c": ("MPL-2.0", mpl), "n/y.py": ("LGPL-2.1", lgpl), "o/no.txt": (None, "This is NOT released under the MIT License."), "s/see.txt": ("MIT", "Licensed under the MIT License and see file."),
+        "n/apache.py": ("Apache-2.0", "# Copyright 2020 Some One. All rights reserved.\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\nimport sys"), "n/spdx.rs": ("AGPL-3.0", "// SPDX-License-Identifier: AGPL-3.0-or-later\nfn main() {}\n" + "let x = 1;\n" * 40),
+        "u/UNLICENSE": ("Unlicense", dict(licenses.TEXTS[7:8])["Unlicense"]), "o/none.txt": (None, "My driving license is old, and this long sentence says nothing of software."), "p/own.txt": ("proprietary", "Copyright 2020 Some One.\nAll rights reserved."),
+    }
+    rows = [(p, t) for p, (_, t) in want.items()] + [("m/q/r/deep.py", "x = 1"), ("same/f", "SPDX-License-Identifier: MIT"), ("same/f", "licenses of trade and of copyright are not what this says at all, and so on it goes for very long"), ("same/f", "SPDX-License-Identifier: MIT")]
+    out = licenses.scan(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()
+    got = {r.path: r.license for r in out}
+    assert {p: got[p] for p in want} == {p: name for p, (name, _) in want.items()}
+    by = {r.path: (r.license, r.origin, r.origin_dir) for r in out}
+    assert by["m/q/r/deep.py"] == ("MIT", "inherited", "m")
+    same = Counter((r.license, r.cosine, r.origin) for r in out if r.path == "same/f")
+    assert same == {("MIT", 1.0, "own"): 2, ("MIT", None, "inherited"): 1}
+
+
 def test_quoting(spark):
     rows = [
         (1, 0, "a", "First question here.\nSecond line of it.", 0), (1, 1, "b", "> First question here.\n> Second line of it.\nMy answer is yes.", 0),
