@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,17 @@ class FeedbackStore:
         now = datetime.now(timezone.utc).isoformat(timespec="microseconds")
         self.spark.createDataFrame([(entity_id, entity_type, status, notes, analyst_id, now)], SCHEMA).write.mode("append").parquet(self.path)
 
+    def _log(self) -> DataFrame:
+        """All rows written so far; none before the first."""
+        try:
+            return self.spark.read.schema(SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], SCHEMA)
+
     def all(self) -> DataFrame:
-        return latest(self.spark.read.schema(SCHEMA).parquet(self.path))
+        return latest(self._log())
 
     def get(self, entity_id: str) -> DataFrame:
-        return latest(self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("entity_id") == entity_id))
+        return latest(self._log().where(F.col("entity_id") == entity_id))

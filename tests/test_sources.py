@@ -76,6 +76,7 @@ def test_geo(spark):
 
 def test_feedback(spark, tmp_path):
     store = feedback.FeedbackStore(spark, str(tmp_path / "fb"))
+    assert store.all().count() == store.get("w").count() == 0
     store.set_feedback("w1", " confirmed ", "wallet")
     store.set_feedback("w1", "FALSE_POSITIVE", "ip")
     row = store.get("w1").first()
