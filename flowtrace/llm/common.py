@@ -42,7 +42,7 @@ def fold(text: Column) -> Column:
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Distinct words whose hashes a worker keeps.
-CACHE = 300_000
+CACHE = 100_000
 
 
 class _Hashes(dict):

@@ -75,7 +75,7 @@ class Hits(dict):
         self.learned, self.muted = learned, muted
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         w, found = token.strip(_STRIP), []
         if w in _FIXED and w not in self.muted:
