@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import components
 from .common import cut, table
-from .near_copies import near_copies
+from .near_copies import SENT, near_copies
 
 SEED = 42
 #: Fingerprints under one variant from which star links over two-wildcard variants take the place of pairs.
@@ -122,10 +122,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     best = found.groupBy(*group).agg(F.min(rows).alias("best")).select("best.doc_id", "best._row")
     copies = found.groupBy("doc_id", "_row").agg(F.count("*").alias("_copies"))
-    kept = cut(best.join(copies, best.doc_id.eqNullSafe(copies.doc_id) & (best._row == copies._row)).select(best.doc_id.alias("_id"), best._row.alias("_kept"), "_copies"))
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (row_hash == F.col("_kept")))
-    once = out.where("_copies = 1").select(*docs.columns)
-    return once.unionByName(out.where("_copies > 1").select(*docs.columns).dropDuplicates())
+    first = copies.join(best.withColumn("_first", F.lit(True)), copies.doc_id.eqNullSafe(best.doc_id) & (copies._row == best._row), "left")
+    # rows to go, and those to keep once; all others stay as they are
+    marks = cut(first.where("_first IS NULL OR _copies > 1").select(copies.doc_id.alias("_id"), copies._row.alias("_hash"), "_first"))
+    marks = F.broadcast(marks) if marks.count() <= SENT else marks.hint("merge")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (row_hash == F.col("_hash"))
+    repeated = docs.join(marks.where("_first"), same).select(*docs.columns).dropDuplicates()
+    return docs.join(marks, same, "left_anti").unionByName(repeated)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
