@@ -295,6 +295,7 @@ SELECT entity_id, composite_risk_score, raw_score, {_LEVEL('composite_risk_score
     "feedback_latest": BASE + "SELECT wallet AS entity_id, 'wallet' AS entity_type, CASE WHEN wallet[2:]::BIGINT % 100 = 0 THEN 'FALSE_POSITIVE' ELSE 'CONFIRMED' END AS status, '' AS notes, 'a1' AS analyst_id, CASE WHEN wallet[2:]::BIGINT % 100 = 0 THEN '2024-02-02' ELSE '2024-02-01' END AS updated_at FROM (SELECT DISTINCT wallet FROM legs) WHERE wallet[2:]::BIGINT % 50 = 0",
     "gt_evaluation": BASE + ALERTS + TRUTH + """, c AS (SELECT count(*) FILTER (composite_risk_score >= 0.3 AND bad) AS tp, count(*) FILTER (composite_risk_score >= 0.3 AND NOT bad) AS fp, count(*) FILTER (composite_risk_score < 0.3 AND bad) AS fn FROM alert JOIN truth USING (wallet))
 SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) ELSE 0 END::DOUBLE AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) ELSE 0 END::DOUBLE AS recall, CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 4) ELSE 0 END::DOUBLE AS f1 FROM c""",
+    "gt_missed": BASE + ALERTS + TRUTH + "SELECT wallet, composite_risk_score AS score FROM truth JOIN alert USING (wallet) WHERE bad AND composite_risk_score < 0.3 ORDER BY score DESC, wallet LIMIT 10",
     "gt_pattern_recall": BASE + ALERTS + TRUTH + "SELECT pattern_type, count(*) AS n, count(*) FILTER (composite_risk_score >= 0.3) AS found, round(count(*) FILTER (composite_risk_score >= 0.3) / count(*), 4) AS recall FROM truth JOIN alert USING (wallet) WHERE bad GROUP BY 1",
     "robust_scaled": BASE + SCALED + "SELECT wallet, " + ", ".join(f"round({c}, 6) AS {c}" for c in MODEL) + " FROM scaled",
     "variance_importance": BASE + SCALED + ", v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({c}) AS v FROM feat" for c in MODEL) + ") SELECT feature, round(v / sum(v) OVER (), 6) AS importance FROM v",

@@ -200,6 +200,7 @@ QUERIES = {
     "feedback_latest": _with_legs(lambda l: fb.latest(feedback_log(l))),
     "gt_evaluation": _with_legs(lambda l: scoring.evaluation(_simple_alerts(l), _truth(l))),
     "gt_pattern_recall": _with_legs(lambda l: scoring.pattern_recall(_simple_alerts(l), _truth(l))),
+    "gt_missed": _with_legs(lambda l: scoring.missed(_simple_alerts(l), _truth(l))),
     "robust_scaled": _with_legs(lambda l: rounded(anomaly.robust_scaled(model_features(l), "wallet", MODEL_COLUMNS), amounts=False)),
     "deviant_features": _with_legs(lambda l: anomaly.deviant_features(model_features(l), "wallet", MODEL_COLUMNS)),
     "zscore_explain": _with_legs(lambda l: classify.zscore_explanations(model_features(l), "wallet", MODEL_COLUMNS)),
