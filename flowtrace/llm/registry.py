@@ -9,6 +9,7 @@ from .packing import op10_packing
 from .pii import op4_pii
 from .quality import OP9_SQL, op9_quality
 from .quoting import OP3_SQL, op3_quoting
+from .sharding import OP11_SQL, op11_sharding
 from .simhash import op7_simhash
 from .toxicity import op8_toxicity
 from .vafile import OP5_SQL, op5_topk
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op2_licenses": OP2_SQL, "op3_quoting": OP3_SQL, "op5_topk": OP5_SQL, "op9_quality": OP9_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_licenses": OP2_SQL, "op3_quoting": OP3_SQL, "op5_topk": OP5_SQL, "op9_quality": OP9_SQL, "op11_sharding": OP11_SQL}
