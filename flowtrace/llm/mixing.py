@@ -3,9 +3,10 @@
 Each source's documents, in hashed order, form one stream that is cut into blocks of equal words. The
 schedule's slots are golden-ratio points on the unit interval, which the sources share by their
 targets; a slot takes the next block of the source whose part its point falls into, starting over when
-the stream ends. What a source gives is what its slots take: how near that comes to its target is the
-points' discrepancy, a few blocks of the many thousand. Ranks and prefix sums are counted in two
-levels, within groups and over the groups, so that a source of any size is spread over all tasks.
+the stream ends, until its target is reached. Turns that the points leave a source short of, a few of the
+many thousand or all of a source smaller than a block, stand beside other slots, placed by further points:
+so every source gives its target in whole words. Ranks and prefix sums are counted in two levels, within
+groups and over the groups, so that a source of any size is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -79,9 +80,10 @@ def block_words(total: int) -> int:
 
 
 def schedule(sources: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:
-    """(slot, source_no, turn), and the words in a block: the source of every slot and which of its turns it is, from 0.
+    """(slot, source_no, turn, quota), and the words in a block: the source of every slot and which of its turns it is, from 0.
 
-    There are as many slots as the quotas have blocks. How many of them a source has is what the points give it.
+    There are as many slots as the quotas have blocks. How many of them a source has is what the points give it; turns
+    that it lacks share slots with others, at points further on.
     """
     spark = sources.sparkSession
     parts = cut(sources.select("source_no", "quota").where("quota > 0").withColumn("high", F.expr("sum(quota) OVER (ORDER BY source_no)")))
@@ -98,21 +100,27 @@ def schedule(sources: DataFrame, block: int | None = None) -> tuple[DataFrame, i
     counts = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("source_no", "chunk", F.expr("sum(n) OVER (PARTITION BY source_no ORDER BY chunk) - n").alias("before"))
     turn = F.col("before") + F.expr("row_number() OVER (PARTITION BY source_no, chunk ORDER BY slot)") - 1
-    return cut(drawn.join(before, ["source_no", "chunk"]).withColumn("turn", turn).select("slot", "source_no", "turn")), block
+    drawn = drawn.join(before, ["source_no", "chunk"]).withColumn("turn", turn).select("slot", "source_no", "turn")
+    have = counts.groupBy("source_no").agg(F.sum("n").alias("have"))
+    short = parts.join(have, "source_no", "left").select("source_no", F.coalesce("have", F.lit(0).cast("long")).alias("have"), F.ceil(F.col("quota") / block).alias("need")).where("have < need")
+    rest = short.select("source_no", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("turn"))
+    further = (n_slots + F.col("source_no") + F.col("turn")) % MODULUS * STEP % MODULUS
+    rest = rest.select(F.floor(further / MODULUS * n_slots).alias("slot"), "source_no", "turn")
+    return cut(drawn.unionByName(rest).join(parts.select("source_no", "quota"), "source_no")), block
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block: int, repeats: int = REPEATS) -> DataFrame:
     """Which words of which document every slot takes: slot, source_no, turn, pass, from_word, n_words and placed's columns.
 
-    A stream that was gone through repeats times gives no more: later slots of its source stay empty.
+    Where a source's quota or its stream, gone through repeats times, ends, its later slots stay empty.
     """
-    limits = slots.groupBy("source_no").agg((F.count("*") * block).alias("limit"))
+    limits = slots.groupBy("source_no").agg(F.first("quota").alias("limit"))
     passes = placed.where("size > 0").join(limits, "source_no").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     virtual = passes.withColumn("first", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("limit"))).where("first < end")
     cells = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("end") - 1) / block))
     parts = virtual.withColumn("turn", F.explode(cells))
     begin, stop = F.greatest("first", F.col("turn") * block), F.least("end", (F.col("turn") + 1) * block)
-    joined = parts.join(slots, ["source_no", "turn"])
+    joined = parts.join(slots.drop("quota"), ["source_no", "turn"])
     return joined.withColumn("from_word", begin - F.col("first")).withColumn("n_words", stop - begin).drop("first", "end", "limit")
 
 
@@ -138,7 +146,7 @@ def taken(placed: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
-    """(slot, source, n_words, text) in order of slot: the mix itself, a row per slot that takes words, documents joined by spaces.
+    """(slot, source, n_words, text) in order of slot: the mix itself, a row per slot and source that takes words, documents joined by spaces.
 
     A row holds a block's words at most. Rows equal in id and text are interchangeable and are read once.
     """
@@ -147,7 +155,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     cutout = F.array_join(F.slice(words(F.col("text")), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     each = parts.select("slot", "source", "pass", "start", "n_words", "from_word", "key").join(texts, "key").select("slot", "source", "n_words", F.struct("pass", "start", cutout.alias("words")).alias("piece"))
     whole = each.groupBy("slot", "source").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list("piece")).alias("p"))
-    return whole.select("slot", "source", "n_words", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("text")).orderBy("slot")
+    return whole.select("slot", "source", "n_words", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("text")).orderBy("slot", "source")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -211,14 +219,20 @@ WITH d AS (
 ), points AS (
   SELECT slot, ((slot % 2147483648) * 1327217885 % 2147483648) / 2147483648::DOUBLE * total AS point
   FROM (SELECT unnest(range(((total + block - 1) // block)::BIGINT)) AS slot, total FROM k)
-), turns AS (
+), drawn AS (
   SELECT no, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS turn FROM points JOIN q ON point >= high - quota AND point < high
+), rest AS (
+  SELECT q.no, unnest(range(coalesce(have, 0), ((quota + block - 1) // block)::BIGINT)) AS turn, ((total + block - 1) // block)::BIGINT AS n_slots
+  FROM k, q LEFT JOIN (SELECT no, count(*) AS have FROM drawn GROUP BY no) h ON h.no = q.no
+), turns AS (
+  SELECT no, slot, turn FROM drawn UNION ALL
+  SELECT no, floor(((n_slots + no + turn) % 2147483648 * 1327217885 % 2147483648) / 2147483648::DOUBLE * n_slots)::BIGINT, turn FROM rest
 ), p AS (
-  SELECT row_number() OVER () AS r, d.doc_id, d.size, t.no, t.source_size, t.target,
+  SELECT row_number() OVER () AS r, d.doc_id, d.size, t.no, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), v AS (
-  SELECT r, no, start + pass * source_size AS first, least(start + pass * source_size + size, (SELECT count(*) FROM turns WHERE turns.no = p.no) * block) AS stop, block
+  SELECT r, no, start + pass * source_size AS first, least(start + pass * source_size + size, quota) AS stop, block
   FROM p, k, (SELECT unnest([0, 1]) AS pass) WHERE size > 0
 ), u AS (
   SELECT v.*, unnest(range((first // block)::BIGINT, ((stop - 1) // block + 1)::BIGINT)) AS turn FROM v WHERE first < stop

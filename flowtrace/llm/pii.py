@@ -1,11 +1,11 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
 Patterns propose spans: the base kinds, whose matches must pass a check (octets, Luhn, digits), and many
-looser forms without one: spelt-out addresses, IPv6, cards and phones in other groupings, secrets, bank
-accounts. Boosted trees learn from planted examples, real forms in telling and neutral surroundings against
+looser forms without one: spelt-out addresses, IPv6, cards and phones in other groupings, secrets of any
+length, bank accounts, social security numbers. Boosted trees learn from planted examples, real forms in telling and neutral surroundings against
 numbers and words that only look alike, and from the corpus' own base matches, passed against failed.
 Thresholds are calibrated per kind on loose candidates held back. Loose spans that reach their kind's
-threshold are added to the base ones, of overlapping ones the likeliest.
+threshold are added to the base ones, the likeliest first, none that overlaps one that stays.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ CONTEXT, AFTER, RUN = 32, 8, 512
 MANY = 64
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "secret", "iban")
+KINDS = (*BASE_KINDS, "secret", "iban", "ssn")
 #: The base patterns, written so that no run of letters or digits is tried from more than one place
 #: and no repetition recurses; and what each kind's text must hold at all.
 BASE = {
@@ -44,12 +44,16 @@ LOOSE = (
     ("email", r"(?i)[(\[{] ?at ?[)\]}]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[(\[{] ?at ?[)\]}] ?[a-z0-9-]++(?:(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?| dot )[a-z0-9-]++)++"),
     ("email", r"(?i) at [a-z0-9-]+ dot ", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ at [a-z0-9-]++(?: dot [a-z0-9-]++)++"),
     ("ip", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("ip", r"::", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"),
-    ("card", r"[0-9]{4}[./_ -]{1,3}[0-9]{4}[./_ -]{1,3}[0-9]{4}", r"(?<![0-9.])[0-9]{4}(?:(?:[./_]| {2}| - )[0-9]{4}){2}(?:[./_]| {2}| - )[0-9]{1,7}(?![0-9.])"),
+    ("ip", r"::", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?+::(?:(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}|(?<=[0-9A-Fa-f]::))(?![0-9A-Za-z:])"),
+    ("card", r"[0-9]{4}[./_ -]{1,3}[0-9]{4}[./_ -]{1,3}[0-9]{4}", r"(?<![0-9.])[0-9]{4}(?:(?:[./_]| {2}| - )[0-9]{4}){2}(?:[./_]| {2}| - )[0-9]{1,7}(?![0-9]|\.[0-9])"),
+    ("card", r"3[0-9]{3}[./_ -]{1,3}[0-9]{6}[./_ -]{1,3}[0-9]{5}", r"(?<![0-9.])3[0-9]{3}(?:[./_]| {2}| - )[0-9]{6}(?:[./_]| {2}| - )[0-9]{5}(?![0-9]|\.[0-9])"),
     ("phone", r"[0-9][)./ -]{1,2}[0-9]{2}", r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])"),
     ("phone", r"00[1-9]", r"(?<![0-9A-Za-z+.])00[1-9][0-9]{0,2}[ ./-]?[0-9(][0-9 ()./-]{5,16}[0-9](?![0-9A-Za-z])"),
-    ("secret", r"(?i)token|secret|passw|key|bearer", r"(?i)(?<=(?:token|secret|password|passwd|key|bearer)[\x20\t]{0,2}[:=]{0,2}[\x20\t]{0,2}[\x22\x27]{0,1})[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_-])"),
-    ("secret", r"AKIA|gh[pousr]_|sk-|xox", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,64}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,64})(?![A-Za-z0-9])"),
+    # values of any length; the cheap looks come first, the word that tells last
+    ("secret", r"(?i)token|secret|passw|key|bearer", r"(?i)(?<=[\x20\t:=\x22\x27])(?=[A-Za-z0-9+/_=.-]{16})(?<=(?:token|secret|password|passwd|key|bearer)[\x20\t]{0,2}[:=]{0,2}[\x20\t]{0,2}[\x22\x27]{0,1})[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+"),
+    ("secret", r"AKIA|gh[pousr]_|sk-|xox|eyJ", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)++)"),
+    ("secret", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN (?:[A-Z]++ )*?PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]++(?:-----END [A-Z ]++-----)?+"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )
 #: Planted values by kind and outcome, as SQL over d (64 random digits), h (64 random hex digits), n and m (words).
@@ -57,31 +61,46 @@ _CARD = "concat('4', substr(d, 1, 14))"
 _LUHN = "pmod(10 - aggregate(transform(split(reverse({0}), ''), (x, i) -> if(i % 2 = 1, int(x), if(int(x) > 4, 2 * int(x) - 9, 2 * int(x)))), 0, (a, x) -> a + x) % 10, 10)"
 _GOOD = f"concat({_CARD}, {_LUHN.format(_CARD)})"
 _BAD = f"concat({_CARD}, ({_LUHN.format(_CARD)} + 1 + int(substr(d, 20, 1)) % 9) % 10)"
+_AMEX = "concat('37', substr(d, 1, 12))"
+_AMEX_GOOD = f"concat({_AMEX}, {_LUHN.format(_AMEX)})"
+#: A number's remainder by 97, letters as 10 to 35.
+_MOD97 = "aggregate(split({0}, ''), 0, (a, x) -> if(x rlike '[0-9]', (a * 10 + int(x)) % 97, (a * 100 + ascii(x) - 55) % 97))"
+_IN_PARTS = lambda value: f"array_join(transform(sequence(1, length({value}), 4), i -> substr({value}, i, 4)), ' ')"
 _IN_FOURS = lambda value, sign: f"concat_ws('{sign}', substr({value}, 1, 4), substr({value}, 5, 4), substr({value}, 9, 4), substr({value}, 13, 4))"
+
+
+def _checked(land: str, rest: str) -> str:
+    """An account number whose check digits are right."""
+    return f"concat('{land}', lpad(98 - {_MOD97.format(f"concat({rest}, '{land}00')")}, 2, '0'), {rest})"
+
+
 PLANTS = (
-    ("email", 1, "concat(n, ' [at] ', m, ' [dot] com')"), ("email", 1, "concat(n, '(at)', m, if(length(n) % 2 = 0, '.org', concat('.', n, '.com')))"), ("email", 1, "concat(n, ' at ', m, ' dot net')"), ("email", 1, "concat(n, '{at}', m, ' dot co dot uk')"),
-    ("email", 0, "concat('met [at] ', substr(d, 1, 1), '.', substr(d, 2, 2))"), ("email", 0, "concat('look at ', if(length(n) % 2 = 0, 'this', 'the'), ' dot ', if(length(m) % 2 = 0, 'product', 'plot'))"), ("email", 0, "concat('x at ', substr(d, 1, 1), ' dot ', substr(d, 2, 1))"),
-    ("ip", 1, "concat_ws(':', substr(h, 1, 4), substr(h, 5, 4), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 4), substr(h, 25, 4), substr(h, 29, 4))"), ("ip", 1, "concat('2001:', substr(h, 1, 3), '::', substr(h, 5, 2))"), ("ip", 1, "concat('fe80::', substr(h, 1, 4), ':', substr(h, 5, 4))"),
+    ("email", 1, "concat(n, ' [at] ', m, ' [dot] com')"), ("email", 1, "concat(n, '(at)', m, if(length(n) % 2 = 0, '.org', concat('.', n, '.com')))"), ("email", 1, "concat(n, ' at ', m, ' dot net')"), ("email", 1, "concat(n, '{at}', m, ' dot co dot uk')"), ("email", 1, "concat(n, ' AT ', m, ' DOT com')"),
+    ("email", 0, "concat('met [at] ', substr(d, 1, 1), '.', substr(d, 2, 2))"), ("email", 0, "concat('look at ', if(length(n) % 2 = 0, 'this', 'the'), ' dot ', if(length(m) % 2 = 0, 'product', 'plot'))"), ("email", 0, "concat('x at ', substr(d, 1, 1), ' dot ', substr(d, 2, 1))"), ("email", 0, "concat(element_at(array('us', 'me', 'them', 'look', 'work'), 1 + int(substr(d, 1, 1)) % 5), ' at ', m, ' dot ', if(length(n) % 2 = 0, 'com', 'net'))"),
+    ("ip", 1, "concat_ws(':', substr(h, 1, 4), substr(h, 5, 4), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 4), substr(h, 25, 4), substr(h, 29, 4))"), ("ip", 1, "concat('2001:', substr(h, 1, 3), '::', substr(h, 5, 2))"), ("ip", 1, "concat('fe80::', substr(h, 1, 4), ':', substr(h, 5, 4))"), ("ip", 1, "if(length(n) % 2 = 0, '::1', concat('fe80::', if(length(m) % 2 = 0, '', '1')))"), ("ip", 1, "concat('2a0', substr(d, 1, 1), ':', substr(h, 2, 4), ':', substr(d, 3, 2), '::', substr(h, 7, 4))"),
     ("ip", 0, "concat_ws(':', '1', '2', substr(d, 1, 1), '4', substr(d, 2, 1), '6', '7', substr(d, 3, 1))"), ("ip", 0, "concat(substr(d, 1, 1), '::', substr(d, 2, 1))"), ("ip", 0, "concat(substr('abcdef', 1 + int(substr(d, 1, 1)) % 5, 1), '::', substr('abcdef', 1 + int(substr(d, 2, 1)) % 5, 1))"),
-    *(("card", 1, _IN_FOURS(_GOOD, sign)) for sign in (".", "/", " - ")), *(("card", 0, _IN_FOURS(_BAD, sign)) for sign in (".", "/", " - ")),
+    *(("card", 1, _IN_FOURS(_GOOD, sign)) for sign in (".", "/", " - ")), *(("card", 0, _IN_FOURS(_BAD, sign)) for sign in (".", "/", " - ")), ("card", 1, f"concat_ws('.', substr({_AMEX_GOOD}, 1, 4), substr({_AMEX_GOOD}, 5, 6), substr({_AMEX_GOOD}, 11, 5))"), ("card", 0, "concat_ws('.', concat('3', substr(d, 1, 3)), substr(d, 5, 6), substr(d, 11, 5))"),
     ("phone", 1, "concat('(', substr(d, 1, 3), ') ', substr(d, 4, 3), '-', substr(d, 7, 4))"), ("phone", 1, "concat_ws('-', substr(d, 1, 3), substr(d, 4, 3), substr(d, 7, 4))"), ("phone", 1, "concat_ws('.', substr(d, 1, 3), substr(d, 4, 3), substr(d, 7, 4))"),
     ("phone", 1, "concat('0', substr(d, 1, 3), ' ', substr(d, 4, 3), ' ', substr(d, 7, 4))"), ("phone", 1, "concat('0', substr(d, 1, 2), '/', substr(d, 3, 3), ' ', substr(d, 6, 2), ' ', substr(d, 8, 2))"), ("phone", 1, "concat('0044 20 ', substr(d, 1, 4), ' ', substr(d, 5, 4))"), ("phone", 1, "concat('0033 ', 1 + int(substr(d, 9, 1)) % 6, ' ', substr(d, 1, 2), ' ', substr(d, 3, 2), ' ', substr(d, 5, 2), ' ', substr(d, 7, 2))"),
-    ("phone", 0, "concat('20', substr(d, 1, 2), '-0', 1 + int(substr(d, 3, 1)) % 9, '-1', substr(d, 4, 1))"), ("phone", 0, "concat('1', int(substr(d, 1, 1)) % 3, '.0', 1 + int(substr(d, 2, 1)) % 9, '.20', substr(d, 3, 2))"), ("phone", 0, "concat_ws('-', '978', substr(d, 2, 2), substr(d, 4, 3), substr(d, 7, 3))"),
+    ("phone", 0, "concat('20', substr(d, 1, 2), '-0', 1 + int(substr(d, 3, 1)) % 9, '-1', substr(d, 4, 1))"), ("phone", 0, "concat('1', int(substr(d, 1, 1)) % 3, '.0', 1 + int(substr(d, 2, 1)) % 9, '.20', substr(d, 3, 2))"), ("phone", 0, _IN_FOURS(_BAD, ".")), ("phone", 0, _IN_FOURS(_BAD, "/")), ("phone", 0, "concat_ws('-', '978', substr(d, 2, 2), substr(d, 4, 3), substr(d, 7, 3))"),
     ("phone", 0, "concat_ws(' ', concat(1 + int(substr(d, 1, 1)) % 9, '00'), concat(1 + int(substr(d, 2, 1)) % 9, '00'), concat(1 + int(substr(d, 3, 1)) % 9, '00'))"), ("phone", 0, "concat_ws('.', concat(1 + int(substr(d, 1, 1)) % 9, substr(d, 2, 1)), substr(d, 3, 3), substr(d, 6, 3))"),
     ("secret", 1, "concat('token = \"', substr(h, 1, 40), '\"')"), ("secret", 1, "concat('api_key: ', substr(base64(unhex(h)), 1, 32))"), ("secret", 1, "concat('password=', n, substr(h, 1, 12), m)"), ("secret", 1, "concat('AKIA', upper(substr(translate(h, '0123456789', 'GHJKLMNPQR'), 1, 16)))"), ("secret", 1, "concat('ghp_', substr(base64(unhex(h)), 1, 10), substr(h, 1, 26))"),
+    ("secret", 1, "concat('secret = \"', h, h, substr(base64(unhex(h)), 1, 40), '\"')"), ("secret", 1, "concat('bearer eyJ', substr(base64(unhex(h)), 1, 30), '.', substr(base64(unhex(reverse(h))), 1, 40), '.', substr(h, 3, 43))"), ("secret", 1, "concat('-----BEGIN PRIVATE KEY-----\n', base64(unhex(concat(h, h))), '\n-----END PRIVATE KEY-----')"),
     ("secret", 0, "concat('key: ', n, '_', m, '_identifier_column')"), ("secret", 0, "concat('token = ', repeat(substr(h, 1, 1), 24))"), ("secret", 0, "concat('secret ', n, '-', m, '-', n, '-of-', m)"), ("secret", 0, "'password_must_be_changed_often'"),
-    ("iban", 1, "concat('DE', substr(d, 1, 2), ' ', substr(d, 3, 4), ' ', substr(d, 7, 4), ' ', substr(d, 11, 4), ' ', substr(d, 15, 4), ' ', substr(d, 19, 2))"), ("iban", 1, "concat('FR', substr(d, 1, 22), 'A', substr(d, 23, 2))"),
-    ("iban", 0, "concat('PN', substr(d, 1, 2), ' ', upper(substr(translate(h, '0123456789', 'GHJKLMNPQR'), 1, 4)), ' ', substr(d, 3, 4), ' ', upper(substr(translate(h, '0123456789', 'GHJKLMNPQR'), 5, 4)))"),
+    *(("iban", 1, form(_checked(land, rest))) for form in (_IN_PARTS, str) for land, rest in (("DE", "substr(d, 3, 18)"), ("FR", "concat(substr(d, 1, 20), 'A', substr(d, 23, 2))"), ("GB", "concat('NWBK', substr(d, 3, 14))"))),
+    ("iban", 0, "concat('PN', substr(d, 1, 2), ' ', upper(substr(translate(h, '0123456789', 'GHJKLMNPQR'), 1, 4)), ' ', substr(d, 3, 4), ' ', upper(substr(translate(h, '0123456789', 'GHJKLMNPQR'), 5, 4)))"), ("iban", 0, "concat('XK', substr(d, 1, 20))"),
+    ("ssn", 1, "concat_ws('-', substr(d, 1, 3), substr(d, 4, 2), substr(d, 6, 4))"), ("ssn", 0, "concat_ws('-', substr(d, 1, 3), substr(d, 4, 2), substr(d, 6, 4))"),
 )
 #: What stands before planted values: for real ones words that tell, for lookalikes words that tell otherwise, for both neutral ones.
 LEADS = {
     "email": ("write to", "contact", "mail me:", "e-mail"), "ip": ("host", "server address", "connect from", "ip"), "card": ("card number", "pay by visa", "credit card:", "my card is"), "phone": ("call me on", "tel.", "phone:", "mobile"),
-    "secret": ("", "use", "config:", "set"), "iban": ("account", "iban:", "bank transfer to", "pay into"), "": ("and then", "the", "so", "of a"), "not": ("order", "on the date", "page", "version", "item no.", "ratio", "section", "invoice"),
+    "secret": ("", "use", "config:", "set"), "iban": ("account", "iban:", "bank transfer to", "pay into"), "ssn": ("ssn", "social security number", "SSN:", "tax id"), "": ("and then", "the", "so", "of a"), "not": ("order", "on the date", "page", "version", "item no.", "ratio", "section", "invoice"),
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _SPAN = "struct<start:int,end:int,hit:string,before:string,after:string>"
 _DIGITS = "regexp_replace(c.hit, '[^0-9]', '')"
 _SUM = f"aggregate(transform(split(reverse({_DIGITS}), ''), (d, i) -> if(i % 2 = 0, int(d), if(int(d) > 4, 2 * int(d) - 9, 2 * int(d)))), 0, (a, d) -> a + d)"
+_MOVED = "concat(substr(regexp_replace(c.hit, '[^A-Z0-9]', ''), 5), substr(regexp_replace(c.hit, '[^A-Z0-9]', ''), 1, 4))"
 #: What the trees see of a candidate c, by SQL.
 FEATURES = (
     "c.form",
@@ -106,6 +125,11 @@ FEATURES = (
     "int(lower(c.before) rlike 'ip|host|server|connect|addr')",
     "int(lower(c.before) rlike 'token|secret|key|passw|bearer')",
     "int(lower(c.before) rlike 'iban|bank|account|konto')",
+    "int(lower(c.before) rlike 'ssn|social|tax')",
+    f"int(if(c.kind = 5, {_MOD97.format(_MOVED)} = 1, false))",
+    "int(c.kind = 0 AND (c.hit rlike '[(\\\\[{]' OR c.hit rlike ' AT .* DOT '))",
+    "int(c.kind = 0 AND lower(c.hit) rlike '^(us|me|you|him|her|it|them|this|that|look|met|here|there|home|work|are|is|was|be) at ')",
+    "int(c.hit rlike '^[0-9]{4}[^0-9]+[0-9]{4}[^0-9]+[0-9]{4}')",
     "int(lower(c.before) rlike 'order|invoice|version|isbn|page|date|item|section|ratio|commit|part')",
 )
 
@@ -156,7 +180,8 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def planted(spark: SparkSession, each: int = PLANTED) -> DataFrame:
     """(text, kind, real, from, to): made-up examples, each of every planted value, in telling and neutral surroundings."""
-    rows = [(KINDS.index(kind), real, k, [*LEADS[kind if real else "not"], *LEADS[""]]) for k, (kind, real, _) in enumerate(PLANTS)]
+    # nothing but what stands before it tells a social security number
+    rows = [(KINDS.index(kind), real, k, [*LEADS[kind if real else "not"], *(LEADS[""] if kind != "ssn" or not real else ())]) for k, (kind, real, _) in enumerate(PLANTS)]
     kinds = spark.createDataFrame(rows, "kind int, real int, plant int, leads array<string>")
     made = kinds.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
     made = made.withColumn("h", F.sha2(F.concat_ws(":", "plant", "no").cast("binary"), 256)).withColumn("d", F.translate("h", "abcdef", "357914"))
@@ -222,26 +247,32 @@ def fit(found: DataFrame, max_train: int = MAX_TRAIN) -> Redactor:
     return model
 
 
-#: Over candidates in order of start: a run of overlapping ones gives the likeliest, or none where a base span (p 2) is among them.
-_SWEEP = """filter(concat(aggregate({all}, named_struct('end', -1, 'best', named_struct('p', 2D, 'kind', 0, 'start', 0, 'end', 0), 'out', cast(array() AS array<struct<p:double,kind:int,start:int,end:int>>)),
-    (acc, c) -> if(c.start < acc.end, named_struct('end', greatest(acc.end, c.end), 'best', if(c.p > acc.best.p, {c}, acc.best), 'out', acc.out),
-      named_struct('end', c.end, 'best', {c}, 'out', if(acc.best.p < 2, array_append(acc.out, acc.best), acc.out))),
-    acc -> array_append(acc.out, acc.best))), c -> c.p < 2)"""
+_KEPT = "struct<p:double,kind:int,start:int,end:int>"
+#: Candidates in order of start, as runs in which each overlaps one before it.
+_RUNS = """aggregate({all}, named_struct('end', -1, 'open', cast(array() AS array<{kept}>), 'done', cast(array() AS array<array<{kept}>>)),
+    (acc, c) -> if(c.start < acc.end, named_struct('end', greatest(acc.end, c.end), 'open', array_append(acc.open, {c}), 'done', acc.done),
+      named_struct('end', c.end, 'open', array({c}), 'done', if(size(acc.open) > 0, array_append(acc.done, acc.open), acc.done))),
+    acc -> array_append(acc.done, acc.open))"""
+#: Of a run r the likeliest first, without what overlaps one that stays; base spans (p 2) all stay.
+_CHOSEN = """if(size(r) = 1, r, aggregate(array_sort(r, (a, b) -> if(a.p > b.p, -1, if(a.p < b.p, 1, if(a.start < b.start, -1, if(a.start > b.start, 1, if(a.end < b.end, -1, if(a.end > b.end, 1, a.kind - b.kind))))))),
+    cast(array() AS array<{kept}>), (acc, c) -> if(c.p < 2 AND exists(acc, k -> k.start < c.end AND c.start < k.end), acc, array_append(acc, {c}))))"""
 
 
 def spans(found: DataFrame, model: Redactor) -> DataFrame:
     """found with _base_spans and _all_spans: arrays of (kind number, start, end), in order of kind and start.
 
-    Candidates that overlap, each the next, are a run: with a base span in it nothing is added, else the likeliest (of equals the first).
+    Base spans stay. Of the others the likeliest come first (of equals the first in the text), and what overlaps one that stays is
+    left out; only a run of overlapping candidates is compared with itself.
     """
     slim = lambda a: F.expr(f"transform({a}, c -> struct(c.kind, c.start, c.end))")
     out = found.withColumn("_base", F.expr("filter(_base, c -> c.passed)")).withColumn("_added", model.added())
     each = "struct(c.start AS start, c.end AS end, c.kind AS kind, double({p}) AS p)"
     line = F.expr(f"array_sort(concat(transform(_base, c -> {each.format(p='2')}), transform(_added, c -> {each.format(p='c.p')})))")
     out = out.withColumn("_line", F.when(F.size("_added") > 0, line))
-    sweep = _SWEEP.format(all="_line", c="named_struct('p', c.p, 'kind', c.kind, 'start', c.start, 'end', c.end)")
-    out = out.withColumn("_added", F.expr(f"if(size(_added) > 0, {sweep}, cast(array() AS array<struct<p:double,kind:int,start:int,end:int>>))"))
-    return out.withColumn("_base_spans", F.array_sort(slim("_base"))).withColumn("_all_spans", F.array_sort(F.concat(slim("_base"), slim("_added")))).drop("_base", "_loose", "_added", "_line")
+    whole = "named_struct('p', c.p, 'kind', c.kind, 'start', c.start, 'end', c.end)"
+    out = out.withColumn("_runs", F.expr(f"if(size(_added) > 0, {_RUNS.format(all='_line', c=whole, kept=_KEPT)}, cast(array() AS array<array<{_KEPT}>>))"))
+    out = out.withColumn("_added", F.expr(f"filter(flatten(transform(_runs, r -> {_CHOSEN.format(c=whole, kept=_KEPT)})), c -> c.p < 2)"))
+    return out.withColumn("_base_spans", F.array_sort(slim("_base"))).withColumn("_all_spans", F.array_sort(F.concat(slim("_base"), slim("_added")))).drop("_base", "_loose", "_added", "_line", "_runs")
 
 
 def _listed(spans_col: str) -> Column:
