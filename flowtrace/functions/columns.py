@@ -42,6 +42,22 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
+#: Short forms in names of features.
+_WORDS = {"btc": "BTC", "ip": "address", "ips": "addresses", "asn": "network", "tx": "transaction", "avg": "average", "std": "spread of", "min": "least", "max": "greatest", "net": "balance of"}
+
+
+def label(name: str) -> str:
+    """A feature's name in plain words."""
+    return " ".join(_WORDS.get(w, w) for w in name.split("_"))
+
+
+def labels(names: list[str], name: Column) -> Column:
+    """label() of a column of names, known ones; others as they are."""
+    if not names:
+        return name
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, label(n)))), name), name)
+
+
 def entropy(shares: Column) -> Column:
     """Shannon entropy in bits from an aggregate over shares p."""
     return -F.sum(shares * F.log2(shares))

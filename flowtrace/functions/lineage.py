@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder and read again, for loops that join what they have made.
+
+    A checkpoint keeps the plan's estimate of its size, which such loops multiply without end; a table has its true size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

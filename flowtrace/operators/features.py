@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import btc_sum, entropy, high_risk_asn, ratio
 from ..functions.constants import BURST_SECONDS, HIGH_RISK_COUNTRIES, STANDARD_PORT
+from ..functions.lineage import cut
+from ..functions.ordered import previous
 from .graph import change_outputs, counterparties, wallet_components
 
 
@@ -87,8 +89,9 @@ def tx_features(transactions: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def gaps(tx: DataFrame, by: str) -> DataFrame:
-    """tx with gap: seconds since the one before of the same key, in order of time."""
-    return tx.where("sec IS NOT NULL").withColumn("gap", F.expr(f"sec - lag(sec) OVER (PARTITION BY `{by}` ORDER BY sec, row_idx)"))
+    """tx with gap: seconds since the one before of the same key, in order of time. One key may hold most rows: it is spread over tasks."""
+    timed = tx.where("sec IS NOT NULL")
+    return previous(timed, [by], ["sec", "row_idx"], "sec", "_before").withColumn("gap", F.col("sec") - F.col("_before")).drop("_before")
 
 
 def bursts(tx: DataFrame, by: str) -> DataFrame:
@@ -140,14 +143,14 @@ def wallet_network_features(tx: DataFrame, legs: DataFrame, ips: DataFrame | Non
 
 def temporal_features(events: DataFrame, key: str = "wallet") -> DataFrame:
     """Per key of events(key, id, sec), one event per id: rhythm of the day and week, velocity and regularity."""
-    at = events.where("sec IS NOT NULL").select(key, "id", "sec").distinct()
+    at = cut(events.where("sec IS NOT NULL").select(key, "id", "sec").distinct())
     at = at.withColumn("hour", F.expr("(sec div 3600) % 24")).withColumn("dow", F.expr("(sec div 86400 + 3) % 7"))
 
     def rhythm(unit: str, name: str, peak: str) -> DataFrame:
         n = at.groupBy(key, unit).agg(F.count("*").alias("n"), F.min("sec").alias("first")).withColumn("p", F.expr(f"n / sum(n) OVER (PARTITION BY `{key}`)"))
         return n.groupBy(key).agg(entropy(F.col("p")).alias(name), F.max_by(unit, F.struct("n", (-F.col("first")).alias("early"))).alias(peak))
 
-    gapped = at.withColumn("gap", F.expr(f"sec - lag(sec) OVER (PARTITION BY `{key}` ORDER BY sec, id)"))
+    gapped = previous(at, [key], ["sec", "id"], "sec", "_before").withColumn("gap", F.col("sec") - F.col("_before"))
     per = gapped.groupBy(key).agg(
         F.count("*").alias("n"), F.count("gap").alias("n_gaps"),
         F.avg((F.col("dow") >= 5).cast("int")).alias("weekend_tx_ratio"), F.avg((F.col("hour") <= 5).cast("int")).alias("night_tx_ratio"),

@@ -128,6 +128,28 @@ STEPS = """, outs AS (
 ), steps AS (
   SELECT row_idx, txid, sec, carrier, round(big, 8) AS carried, round(total - big, 8) AS peeled FROM outs WHERE n >= 2 AND total > 0 AND (total - big) / total <= 0.15
 )"""
+#: Every simple path of peel steps, each start's longest, and of these, the longest first, those that meet none chosen before.
+CHAINS = STEPS + """, hops AS (
+  SELECT DISTINCT wallet AS src, carrier AS dst, s.row_idx, {'late': s.sec IS NULL, 'sec': s.sec, 'row_idx': s.row_idx} AS place
+  FROM steps s JOIN legs ON legs.row_idx = s.row_idx AND side = 'input' WHERE wallet <> carrier
+), paths AS (
+  SELECT src AS start, dst AS last, [src, dst] AS wallets, [row_idx] AS rows, [place] AS ord FROM hops
+  UNION ALL SELECT start, hops.dst, list_append(wallets, hops.dst), list_append(rows, hops.row_idx), list_append(ord, hops.place) FROM paths JOIN hops ON src = last WHERE NOT list_contains(wallets, hops.dst)
+), ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY len(rows) DESC, start) AS k FROM (
+    SELECT * FROM paths WHERE len(rows) >= 3 QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(rows) DESC, ord) = 1
+  )
+), picks AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS used, []::VARCHAR[] AS seen, false AS good
+  UNION ALL SELECT r.k, CASE WHEN ok THEN list_concat(used, r.rows) ELSE used END, CASE WHEN ok THEN list_concat(seen, r.wallets) ELSE seen END, ok
+  FROM picks p JOIN (SELECT k, start, wallets, rows FROM ranked) r ON r.k = p.k + 1, LATERAL (SELECT NOT list_has_any(used, r.rows) AND NOT list_contains(seen, r.start) AS ok)
+), chain AS MATERIALIZED (
+  SELECT ranked.* FROM ranked JOIN picks USING (k) WHERE good
+), carry AS (
+  SELECT start, unnest(rows) AS row_idx, unnest(range(len(rows))) AS i FROM chain
+), money AS (
+  SELECT start, arg_min(carried + peeled, i) AS starting_amount, arg_max(carried, i) AS ending_amount, sum(peeled) AS total_peeled, list(txid ORDER BY i) AS txids FROM carry JOIN steps USING (row_idx) GROUP BY start
+)"""
 SEEDS = """, seed AS (
   SELECT wallet, 1.0::DOUBLE - 0.05::DOUBLE * (row_number() OVER (ORDER BY max(amount) DESC, wallet) - 1) AS risk FROM legs WHERE side = 'output' GROUP BY wallet ORDER BY max(amount) DESC, wallet LIMIT 8
 )"""
@@ -275,6 +297,14 @@ SELECT * FROM (SELECT 'w7' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM k1 UNION
     "mixer_hubs": mixer(24 * 60, 2, 2),
     "mixer_hubs_default": mixer(60, 4, 4),
     "peel_steps": BASE + STEPS + "SELECT row_idx, txid, sec, carrier, round(carried, 8) AS carried, round(peeled, 8) AS peeled FROM steps",
+    "peel_chains": BASE + CHAINS + """SELECT start, array_to_string(wallets, ',') AS wallets, len(rows)::BIGINT AS chain_length, round(starting_amount, 8) AS starting_amount, round(ending_amount, 8) AS ending_amount, round(total_peeled, 8) AS total_peeled
+FROM chain JOIN money USING (start)""",
+    "peel_feeders": BASE + CHAINS + """, paid AS (
+  SELECT DISTINCT start, legs.txid FROM money JOIN legs ON wallet = start AND side = 'output' WHERE NOT list_contains(txids, legs.txid)
+), fed AS (
+  SELECT paid.start, count(DISTINCT paid.txid) AS t, count(DISTINCT wallet) FILTER (wallet <> paid.start) AS w FROM paid LEFT JOIN legs ON legs.txid = paid.txid AND side = 'input' GROUP BY 1
+)
+SELECT start, coalesce(t, 0) AS n_feeder_txids, coalesce(w, 0) AS n_feeder_wallets, CASE WHEN coalesce(w, 0) >= 3 THEN start END AS collector_wallet FROM chain LEFT JOIN fed USING (start)""",
     "entity_clusters": BASE + ENTITIES + "SELECT * FROM entity",
     "ip_star_links": BASE + ENTITIES + "SELECT * FROM star",
     "cluster_explanations": BASE + ENTITIES + """SELECT wallet, CASE clustering_method WHEN 'common_input_ownership' THEN 'Co-spends with others of ' || entity_cluster_id || ' (' || cluster_size || ' addresses): inputs of one transaction share an owner.'

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import network, risk_level
 from ..functions.lineage import cut
-from ..operators import anomaly, classify, entities, evasion, features, graph, scoring, validation
+from ..operators import anomaly, classify, entities, evasion, features, forest, graph, scoring, validation
 from ..sources import feedback as fb
 from ..sources import geo
+from . import investigation
 from .adapter import COUNTRIES, legs, transactions, tx
 
 #: Features that scaling, deviation and anomaly queries use.
@@ -57,10 +58,8 @@ def feedback_log(l: DataFrame) -> DataFrame:
 
 
 def scored(t: DataFrame, l: DataFrame) -> DataFrame:
-    """Composite scores without the forest: the anomaly part is each wallet's share of deviant features."""
-    scaled = anomaly.robust_scaled(model_features(l), "wallet", MODEL_COLUMNS)
-    far = sum((F.abs(F.col(c)) > 1.5).cast("int") for c in MODEL_COLUMNS)
-    odd = scaled.select("wallet", F.round(far / len(MODEL_COLUMNS), 4).alias("anomaly_score"))
+    """Composite scores, with the anomaly ensemble's own scores."""
+    odd = cut(anomaly.anomaly_scores(model_features(l), "wallet", MODEL_COLUMNS))
     pattern = scoring.patterns(l, _coinjoin_of(l), evasion.peel_chains(l), evasion.mixer_hubs(l, **MIXER))
     return scoring.composite(l.select("wallet").distinct(), odd, pattern, entities.correlation(t, l), entities.taint_scores(l, seeds(l)))
 
@@ -133,6 +132,34 @@ def _reasons(t: DataFrame, l: DataFrame) -> DataFrame:
     return scoring.primary_reason(scored(t, l).join(features.wallet_degrees(l).select("wallet", "fan_in_ratio", "fan_out_ratio"), "wallet"))
 
 
+def _attributed(l: DataFrame) -> tuple[DataFrame, forest.Forest]:
+    scaled = anomaly.scaled_features(model_features(l), "wallet", MODEL_COLUMNS)
+    grown = anomaly.isolation_trees(scaled, "wallet", MODEL_COLUMNS)
+    return forest.attributions(scaled, "wallet", grown), grown
+
+
+def _explained(l: DataFrame) -> DataFrame:
+    """What each wallet's isolation score rests on: its five largest features."""
+    shares, grown = _attributed(l)
+    return forest.top_features(shares, "wallet", grown).select("wallet", F.posexplode("top_model_features").alias("at", "x")).select("wallet", (F.col("at") + 1).alias("rank"), F.col("x.name").alias("feature"), F.col("x.value").alias("contribution"))
+
+
+def _importance(l: DataFrame) -> DataFrame:
+    return forest.model_importance(*_attributed(l))
+
+
+def _tx_anomalies(t: DataFrame, l: DataFrame) -> DataFrame:
+    rows = cut(features.tx_features(t, l))
+    return anomaly.anomaly_scores(rows, "row_idx", anomaly.transaction_columns(rows))
+
+
+def _investigation(t: DataFrame) -> DataFrame:
+    """The alerts of a whole run, from transactions to reasons."""
+    out = investigation.investigate(t)["alerts"]
+    listed = F.array_join(F.transform("top_model_features", lambda x: x["name"]), ",").alias("model_features")
+    return out.select("entity_id", "composite_risk_score", "risk_level", "anomaly_score", "evasion_score", "correlation_score", "taint_score", F.array_join("pattern_types", ",").alias("pattern_types"), "entity_cluster_id", "cluster_size", "primary_reason", F.size("evidence").alias("n_evidence"), listed)
+
+
 def _networks(t: DataFrame) -> DataFrame:
     return t.select(network(F.col("asn"), F.col("country")).alias("n"), "row_idx").groupBy("n.category", "n.weight", "n.threat").agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"))
 
@@ -206,7 +233,11 @@ QUERIES = {
     "zscore_explain": _with_legs(lambda l: classify.zscore_explanations(model_features(l), "wallet", MODEL_COLUMNS)),
     "variance_importance": _with_legs(lambda l: rounded(classify.variance_importance(model_features(l), MODEL_COLUMNS))),
     "pca_recon": _with_legs(lambda l: rounded(anomaly.reconstruction(cut(anomaly.robust_scaled(model_features(l), "wallet", MODEL_COLUMNS)), "wallet", MODEL_COLUMNS))),
-    "iforest_scores": _with_legs(lambda l: anomaly.anomaly_scores(model_features(l), "wallet", MODEL_COLUMNS, trees=50)),
+    "iforest_scores": _with_legs(lambda l: anomaly.anomaly_scores(model_features(l), "wallet", MODEL_COLUMNS)),
+    "iforest_explain": _with_legs(_explained),
+    "model_importance": _with_legs(_importance),
+    "tx_anomalies": lambda s, d: _tx_anomalies(transactions(s, d), legs(s, d)),
+    "investigation": lambda s, d: _investigation(transactions(s, d)),
     "score_histogram": _with_legs(lambda l: scoring.score_histogram(_simple_alerts(l))),
     "tier_counts": _with_legs(lambda l: scoring.tier_counts(_simple_alerts(l).withColumn("risk_level", risk_level(F.col("composite_risk_score"))))),
     "top_leads": _with_legs(lambda l: scoring.top_leads(_simple_alerts(l).withColumn("risk_level", risk_level(F.col("composite_risk_score"))))),
