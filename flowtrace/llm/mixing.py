@@ -176,16 +176,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     takes = cut(per_row.groupBy("_key", "_size").agg(F.collect_list("_n").alias("_takes")))
     copies = placed.groupBy("key").agg(F.count("*").alias("_copies"))
     takes = takes.join(copies, takes._key == copies.key).drop("key")
-    rows = docs.join(takes, key_of(id_col, text_col) == F.col("_key"))
+    # docs' own columns travel in one, whatever their names
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), key_of(id_col, text_col).alias("_at"))
+    rows = own.join(takes, F.col("_at") == F.col("_key"))
     once = rows.where("_copies = 1").withColumn("_take", F.element_at("_takes", 1))
     more = rows.where("_copies > 1").withColumn("_no", F.expr("row_number() OVER (PARTITION BY _key ORDER BY _key)"))
     more = more.where(F.col("_no") <= F.size("_takes")).withColumn("_take", F.element_at("_takes", F.col("_no"))).drop("_no")
     out = once.unionByName(more).withColumn("_taken", F.explode("_take"))
-    text = F.when(F.col("_taken.n") < F.col("_size"), first_words(F.col(text_col), F.col("_taken.n"))).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, text)
+    whole = F.col("_doc")[text_col]
+    out = out.withColumn("_text", F.when(F.col("_taken.n") < F.col("_size"), first_words(whole, F.col("_taken.n"))).otherwise(whole))
+    new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.orderBy("_taken.slot").select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.orderBy("_taken.slot").select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,7 +291,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets (overlapping spans by the first's), n_chars counted anew where there is one."""
-    found = candidates(docs, text_col)
+    # docs' own columns travel in one, whatever their names
+    found = candidates(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_given")), "_given")
     marked = spans(found, fit(cut(found.select("_base"))))
     marked = marked.withColumn("_spans", F.expr("array_sort(transform(_all_spans, c -> struct(c.start, c.end, c.kind)))"))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
@@ -306,10 +307,12 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kept = f"transform(_first, (c, k) -> concat({cutout(before, f'c.start - {before}')}, array({names})[c.kind]))"
     rest = cutout("element_at(_first, -1).end", "length(_text)")
     text = F.expr(f"concat(array_join({kept}, ''), {rest})")
-    out = marked.withColumn(text_col, F.when(F.size("_spans") > 0, text).otherwise(F.col(text_col)))
+    changed = F.size("_spans") > 0
+    out = marked.withColumn("_given", F.when(changed, text).otherwise(F.col("_given")))
+    new = {text_col: F.col("_given")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("_given")).otherwise(F.col("_doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,54 @@ def test_pipeline(spark):
     assert all(s.columns == docs.columns for n, s in steps.items() if n != "packing")
     assert steps["packing"].columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert set(ids("packing")) == set(got)
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls, empty, repeated and long rows and columns of the stages' own names, through all stages; redaction and packing against plain ones."""
+    import re
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 90").collect()]
+    rows = [*base, base[4], base[4], (None, "write to jo.doe@mail.example.org or 10.0.0.7 and think about the long road home with many friends", "en", None, 3), (None, None, None, None, None), (7001, "", "en", "s", 0), (7002, " \n\t", "en", None, 3), (7003, "one", None, "web", 3)]
+    rows += [(7004, "a tale of rivers, hills and towns. " * 3000, "en", "web", 9), (7004, "the same id with another text about the weather of the coast", "en", "web", 9)]
+    df = spark.createDataFrame([(*r, "k", 1, 2, "t") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, slot int, size int, _takes string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    at, steps = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / name))
+        at = steps[name] = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or at.columns == df.columns
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    kept = Counter((r.doc_id, r.text) for r in steps["near_duplicates"].collect())
+    assert kept[(base[4][0], base[4][1])] <= 1 and sum(kept[x] for x in ((None, None), (7001, ""), (7002, " \n\t"))) == 1 and kept[(7003, "one")] == 1
+    clean = steps["personal_data"].collect()
+    assert Counter(r.doc_id for r in clean) == Counter(k for k, _ in kept.elements())
+    for r in clean:  # what the base patterns find is gone, what holds no candidate is as it was
+        assert not re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r.text or "")
+        assert kept[(r.doc_id, r.text)] or "[" in r.text
+    assert next(r.text for r in clean if r.text and r.text.startswith("write to")).startswith("write to [EMAIL] or [IP] and think")
+    mixed = steps["source_mix"].collect()
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in clean if r.text and r.text.split()} and all(r.text.split() for r in mixed)
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in mixed:
+        ids = [*tokens.encode(r.text, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[r.doc_id, k // 2048, k, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))] += 1
+    packed = steps["packing"].collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for line in by.values():
+        ends = 0
+        for offset, length in sorted(line):
+            assert offset == ends
+            ends += length
+        assert ends <= 2048
