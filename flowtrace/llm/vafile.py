@@ -28,8 +28,10 @@ SAMPLE = 16384
 CELLS = 256
 #: Parts that a query's scores are ranked in before they meet.
 SALTS = 32
-#: Bounds are summed twice over in floating point: exact below this.
-LIMIT = 1 << 52
+#: Bounds are summed in floating point: exact below this, else widened by this share of the sum of magnitudes.
+LIMIT, ROOM = 1 << 53, 2.0**-44
+#: Scores below this are sums of longs, others of decimals.
+LONG = 1 << 62
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -49,12 +51,14 @@ def _cells(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nd
     return inner, least, np.maximum(greatest, least)
 
 
-def _scanner(least: np.ndarray, greatest: np.ndarray, k: int):
+def _scanner(least: np.ndarray, greatest: np.ndarray, k: int, room: float):
     """A function of a block of queries and a group of cells that gives (query_id, vec_id, hash, part, lower, upper) of all that may be among the k best.
 
-    Bounds are doubled, which keeps them whole. A vector whose upper bound stays under the kth lower bound is out for good.
+    Bounds are doubled, which keeps them whole; where sums may still be rounded they give way by room. A vector whose upper bound
+    stays under the kth lower bound is out for good.
     """
-    twice_mid, width = (least + greatest).astype(np.float64), (greatest - least).astype(np.float64)
+    low, high = least.astype(np.float64), greatest.astype(np.float64)
+    twice_mid, width = low + high, high - low
     dims = np.arange(len(least))
 
     def scan(key: tuple, asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +78,7 @@ def _scanner(least: np.ndarray, greatest: np.ndarray, k: int):
             best, kept = np.full((len(ids), k), -np.inf), []
             for at in range(0, len(own), CHUNK):
                 part, some = cells[at : at + CHUNK], own[at : at + CHUNK]
-                mid, reach = q @ twice_mid[dims, part].T, np.abs(q) @ width[dims, part].T
+                mid, reach = q @ twice_mid[dims, part].T, np.abs(q) @ (width + room * (np.abs(twice_mid) + width))[dims, part].T
                 lower = mid - reach
                 lower[ids[:, None] == some[None, :]] = -np.inf
                 both = np.hstack([best, lower])
@@ -94,17 +98,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part,
     nor do rows with a null id or empty vectors; only vectors of one length are compared. A row repeated
-    with id and vector counts once; ids are taken to stand for one vector each. Components so large that
-    products might pass 2**51 raise ValueError. An empty table gives no rows.
+    with id and vector counts once; ids are taken to stand for one vector each. Scores are exact whatever the
+    components; one that no long holds is null, in its place by size. An empty table gives no rows.
     """
     exact = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"), integers(F.col(vector_col), scale).alias("v"))
     exact = exact.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).withColumn("hash", F.xxhash64("v"))
     largest = F.max(F.greatest(F.abs(F.array_min("v").cast("double")), F.abs(F.array_max("v").cast("double"))))
     sizes = exact.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("all"), largest.alias("largest"), F.count_if("asks").alias("asks")).collect()
-    for s in sizes:
-        if 4 * s.n * s.largest * s.largest >= LIMIT * 2:
-            raise ValueError(f"inner products of {s.n} components up to {s.largest:.0f} pass what is exact")
-    found = [_of_length(exact.where(F.size("v") == s.n), int(s.n), int(s.all), int(s.asks), k) for s in sizes if s.asks]
+    found = [_of_length(exact.where(F.size("v") == s.n), int(s.n), int(s.all), int(s.asks), k, int(s.n) * int(s.largest) ** 2) for s in sizes if s.asks]
     if not found:
         return vectors.sparkSession.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, found)
@@ -142,13 +143,13 @@ def approximations(exact: DataFrame, n: int, n_vectors: int) -> tuple[DataFrame,
     return cut(chunks.withColumn("group", F.pmod(F.xxhash64("group"), F.lit(groups)))), least, greatest
 
 
-def candidates(exact: DataFrame, queries: DataFrame, n: int, n_vectors: int, n_queries: int, k: int) -> DataFrame:
+def candidates(exact: DataFrame, queries: DataFrame, n: int, n_vectors: int, n_queries: int, k: int, most: int = 0) -> DataFrame:
     """(query_id, vec_id, hash, part, lower, upper): by group, the vectors that may be among a query's k best."""
     stored, least, greatest = approximations(exact, n, n_vectors)
     blocks, groups = -(-n_queries // BLOCK), max(1, min(GROUPS, -(-n_vectors // GROUP)))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
     dealt = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    scan = _scanner(least, greatest, k)
+    scan = _scanner(least, greatest, k, ROOM if 4 * most >= LIMIT else 0.0)
     return cut(asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(scan, "query_id long, vec_id long, hash long, part long, lower double, upper double"))
 
 
@@ -159,24 +160,26 @@ def _top(rows: DataFrame, by: Column, k: int) -> DataFrame:
     return parts.groupBy("query_id").agg(first(F.flatten(F.collect_list("top"))).alias("top"))
 
 
-def _of_length(exact: DataFrame, n: int, n_vectors: int, n_queries: int, k: int) -> DataFrame:
+def _of_length(exact: DataFrame, n: int, n_vectors: int, n_queries: int, k: int, most: int) -> DataFrame:
+    """top_k() of vectors of n components; no inner product is larger than most."""
     queries = cut(exact.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct())
-    found = candidates(exact, queries, n, n_vectors, n_queries, k)
+    found = candidates(exact, queries, n, n_vectors, n_queries, k, most)
+    kind = "long" if most < LONG else "decimal(38,0)"
     kth = _top(found, F.col("lower"), k).select("query_id", F.when(F.size("top") >= k, F.element_at("top", k)).alias("kth"))
     likely = cut(found.join(kth, "query_id").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))))
     vectors = exact.select("vec_id", "hash", "v")
 
     def read(pairs: DataFrame) -> DataFrame:
-        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast(kind) * b.cast(kind)).cast(kind)), F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind))
         return pairs.join(vectors, ["vec_id", "hash"]).join(queries, "query_id").select("query_id", "vec_id", score.alias("score")).distinct()
 
     early = F.col("kth").isNull() | (F.col("lower") >= F.col("kth"))
     first = cut(read(likely.where(early)))
     sure = first.groupBy("query_id").agg(F.min("score").alias("certain"))
-    rest = read(likely.where(~early).join(sure, "query_id").where(F.col("upper") >= 2 * F.col("certain")))
+    rest = read(likely.where(~early).join(sure, "query_id").where(F.col("upper") >= 2 * F.col("certain").cast("double")))
     best = _top(first.union(rest), F.struct("score", (-F.col("vec_id")).alias("id")), k)
     out = best.select("query_id", F.posexplode("top").alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("x.id")).alias("vec_id"), F.col("x.score").alias("score"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("x.id")).alias("vec_id"), F.col("x.score").try_cast("long").alias("score"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

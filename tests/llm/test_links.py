@@ -90,8 +90,6 @@ def test_top_k(spark):
 
 def test_top_k_candidates_beside_an_outlier(spark):
     import numpy as np
-    import pytest
-
     own = np.random.default_rng(2)
     v = own.normal(0, 0.3, (3000, 16))
     v[5, 3], v[9, 0] = 1000.0, -1000.0
@@ -108,8 +106,24 @@ def test_top_k_candidates_beside_an_outlier(spark):
         score = whole @ whole[q]
         assert got[q] == [(int(i), int(score[i])) for i in np.lexsort((np.arange(3000), -score)) if i != q][:10]
     large = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        vafile.top_k(large, F.col("vec_id") % 100 == 0)
+    assert [tuple(r) for r in vafile.top_k(large, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1024**2 * (10**9 + 1))]
+
+
+def test_top_k_of_large_components(spark):
+    """Exact where doubles no longer hold the products, and where a long doesn't hold the score (null, in its place)."""
+    own = random.Random(12)
+    rows = [(k, [own.uniform(-1, 1) for _ in range(64)]) for k in range(300)]
+    for far in (9000.0, 2.0**33):
+        rows[7] = (7, [far, *rows[7][1][1:]])
+        rows[200] = (200, [far * own.choice((1, 0.5)) + k for k in range(64)])
+        whole = {k: [int(x * 1024 // 1) for x in v] for k, v in rows}
+        got = {}
+        for r in vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 100 == 0).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in (0, 100, 200):
+            best = sorted(((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q))[:10]
+            assert sorted(got[q]) == [(n + 1, k, -s if -(2**63) <= -s < 2**63 else None) for n, (s, k) in enumerate(best)]
+
 
 
 def test_pipeline(spark):
