@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 
 
 class EntityRiskClassifier:
@@ -47,6 +47,7 @@ class EntityRiskClassifier:
 
 def zscore_explanations(features: DataFrame, key: str, columns: list[str], top: int = 5, least: float = 0.1) -> DataFrame:
     """(key, feature, contribution, rank): standard scores beyond least, the largest first, ties by name."""
+    features = stored(features.select(key, *columns))
     row = features.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
     scale = {c: 1.0 if (row[f"s_{c}"] or 0.0) <= 1e-6 else row[f"s_{c}"] for c in columns}
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.round((F.col(c) - (row[f"m_{c}"] or 0.0)) / scale[c], 3).alias("z")) for c in columns))
