@@ -104,21 +104,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
     """docs with one document of each component: the one with the smallest id, or of equal ids the smallest row hash.
 
-    Components are those of near_duplicates(), or with a similarity those of near_copies() at size words. A row
-    repeated in full stays once. Null ids come after all others. Columns are those of docs.
+    Components are those of near_duplicates(). With a similarity their members are held against each other exactly, at so many
+    words, and near_copies() adds the links that fingerprints can't reach. A row repeated in full stays once. Null ids come after all others. Columns are those of docs.
     """
     row_hash = F.xxhash64(*docs.columns)
     marked = docs.withColumn("_row", row_hash)
-    if similarity is None:
-        found = near_duplicates(marked, id_col, text_col, keep=("_row",), size=size)
-        # a component without any id has no component_id: its fingerprint stands for it
-        group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
-    else:
-        found = near_copies(marked, id_col, text_col, keep=("_row",), size=size, similarity=similarity)
-        group = [F.col("component")]
+    found = near_duplicates(marked, id_col, text_col, keep=("_row",), size=size)
+    # a component without any id has no component_id: its fingerprint stands for it
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
+    if similarity is not None:
+        likely = cut(found.select("_row", F.xxhash64(*group).alias("group")).distinct())
+        found, group = near_copies(marked, id_col, text_col, keep=("_row",), size=words, similarity=similarity, likely=likely), [F.col("component")]
     rows = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     best = found.groupBy(*group).agg(F.min(rows).alias("best")).select("best.doc_id", "best._row")
     copies = found.groupBy("doc_id", "_row").agg(F.count("*").alias("_copies"))

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowtrace.llm import near_copies as nc
 
@@ -68,3 +69,14 @@ def test_near_copies_with_and_without_common_shingles(spark, rows, monkeypatch):
             groups.setdefault(r.component, set()).add(r.doc_id)
         assert {frozenset(g) for g in groups.values()} == _groups(rows, size, similarity)
     assert nc.near_copies(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_verifies_what_fingerprints_find(spark, rows, monkeypatch):
+    """With a similarity the fingerprints' groups are asked first, and a group of unlike texts stays apart."""
+    from flowtrace.llm import simhash
+
+    docs, asked = spark.createDataFrame(rows[:30], "doc_id long, text string").repartition(2), []
+    real = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **b: asked.append(b) or real(*a, **b).withColumn("component_id", F.lit(0).cast("long")))
+    kept = simhash.one_of_each(docs, similarity=0.8)
+    assert asked and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in _groups(rows[:30]))
