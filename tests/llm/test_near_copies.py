@@ -80,3 +80,23 @@ def test_one_of_each_verifies_what_fingerprints_find(spark, rows, monkeypatch):
     monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **b: asked.append(b) or real(*a, **b).withColumn("component_id", F.lit(0).cast("long")))
     kept = simhash.one_of_each(docs, similarity=0.8)
     assert asked and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in _groups(rows[:30]))
+
+
+def test_what_is_common_does_not_depend_on_how_many_texts_there_are(spark, monkeypatch):
+    """A passage of 40 texts is common among 400 as among 40,000: a share of the texts shows it, not a fixed number. Of many shingles the most frequent are known."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line, often = " ".join(word() for _ in range(16)), " ".join(word() for _ in range(16))
+    texts = [" ".join(word() for _ in range(10)) + " " + (line if k < 40 else often if k < 160 else "") for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(nc, "SAMPLE", 10)
+    of = lambda text: set(nc.shingle_set(text, 5).tolist())
+    known, counts = nc._common(docs, "text", 5, 0.8)
+    assert set(known.tolist()) & of(line) and set(known.tolist()) & of(often)
+    monkeypatch.setattr(nc, "KNOWN", sum(counts > counts.min()))
+    fewer, _ = nc._common(docs, "text", 5, 0.8)
+    assert 0 < len(fewer) <= nc.KNOWN < len(known) and set(fewer.tolist()) <= of(often) | of(line)
+    monkeypatch.setattr(nc, "SHARE", 10**9)
+    monkeypatch.setattr(nc, "KNOWN", 10**6)
+    old = set(nc._common(docs, "text", 5, 0.8)[0].tolist())
+    assert not old & of(line)  # what a fixed number of texts shows
