@@ -222,15 +222,20 @@ def _condition(node) -> str:
     return f"if(c.f[{split.featureIndex()}] <= {split.threshold()!r}D, {_condition(node.leftChild())}, {_condition(node.rightChild())})"
 
 
+def _found_plants(plants: DataFrame) -> DataFrame:
+    """Of planted() examples the loose candidates c that overlap the planted value and are of its kind."""
+    plants = candidates(plants).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
+    # before an inner explode Spark puts a filter that holds all of the candidates' SQL again
+    return plants.select("kind", "real", "from", "to", "fold", F.explode_outer("_loose").alias("c")).where("c.kind = kind AND c.start < to AND from < c.end")
+
+
 def fit(found: DataFrame, max_train: int = MAX_TRAIN) -> Redactor:
     """Trees and thresholds from planted examples and candidates()'s base matches (an empty table leaves the planted ones)."""
     model = Redactor()
     matches = found.select(F.explode("_base").alias("c")).select("c.kind", "c.passed", "c.f", F.xxhash64("c.f", "c.kind", "c.start").alias("hash"))
     share = min(1.0, max_train / max(1, matches.count()))
     own = matches.where(F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20))).select("kind", "passed", "f", F.lit(1).alias("fold"))
-    plants = candidates(cut(planted(found.sparkSession).repartition(4))).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
-    plants = plants.select("kind", "real", "from", "to", "fold", F.explode("_loose").alias("c")).where("c.kind = kind AND c.start < to AND from < c.end")
-    plants = cut(plants.select("kind", (F.col("real") == 1).alias("passed"), "c.f", F.col("fold").cast("int")))
+    plants = cut(_found_plants(cut(planted(found.sparkSession).repartition(4))).select("kind", (F.col("real") == 1).alias("passed"), "c.f", F.col("fold").cast("int")))
     train = own.union(plants.where("fold > 0")).select(array_to_vector("f").alias("features"), F.col("passed").cast("double").alias("label"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64).fit(cut(train.coalesce(4)))
     model.trees = [f"{w!r}D * {_condition(t._java_obj.rootNode())}" for t, w in zip(trees.trees, trees.treeWeights)]

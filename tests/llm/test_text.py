@@ -249,6 +249,16 @@ def test_pii_of_any_length_and_form(spark):
     assert len(missed) <= 1 and len(wrong) <= 1, (missed, wrong)
 
 
+def test_pii_plan_holds_the_candidates_once(spark):
+    """The driver plans and sends what the trees learn from: no filter repeats the candidates' SQL, and the rows are those of an inner explode."""
+    plants = pii.planted(spark, 3).localCheckpoint()
+    got = pii._found_plants(plants)
+    inner = pii.candidates(plants).select("text", "kind", "from", "to", F.explode("_loose").alias("c")).where("c.kind = kind AND c.start < to AND from < c.end")
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert "regexp_extract_all" not in "".join(x for x in plan.toString().split("\n") if "Filter" in x)
+    assert sorted(map(repr, got.select("kind", "from", "to", "c").collect())) == sorted(map(repr, inner.select("kind", "from", "to", "c").collect())) != []
+
+
 def test_pii_thresholds_and_overlaps(spark):
     """Which loose candidates are added, in plain loops over made-up probabilities; many spans in one text."""
     own = random.Random(9)
