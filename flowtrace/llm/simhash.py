@@ -4,8 +4,9 @@ Fingerprints at two or fewer differing bits are cut into two halves, of which at
 differs by at most one bit. Each half is indexed under all its one-wildcard variants (the half with
 one bit cleared, and which bit), equal variants are joined and the pairs verified in full. Exact
 copies meet as one distinct fingerprint first, so groups of copies make no pairs. Variants that more
-fingerprints share than HOT are not paired: their members are linked over two-wildcard variants of
-the whole fingerprint, which hold only fingerprints that link, so a star per variant is exact.
+fingerprints share than HOT are not paired: their members go to themselves and to the 64 values at one
+bit from them. Two of them meet at such a value just when they link, and no more than 65 meet at any,
+so a star per value is exact and no group is large.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +25,7 @@ from .common import cut, table
 from .near_copies import SENT, near_copies
 
 SEED = 42
-#: Fingerprints under one variant from which star links over two-wildcard variants take the place of pairs.
+#: Fingerprints under one variant from which stars over the values at one bit take the place of pairs.
 HOT = 64
 #: Shingles hashed at once, so that the longest text needs bounded memory.
 BLOCK = 1 << 16
@@ -81,10 +82,10 @@ def links(prints: DataFrame) -> DataFrame:
     a, b = few.select("sig", F.col("fp").alias("dst")), few.select("sig", F.col("fp").alias("src"))
     pairs = a.join(b, "sig").where((F.col("dst") < F.col("src")) & (_distance("dst", "src") <= 2)).select("src", "dst").distinct()
     hot = shared.where(F.col("n") > HOT).select("fp").distinct()
-    masks = F.expr("explode(flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j)))))")
-    masked = hot.select("fp", masks.alias("mask")).select("fp", "mask", F.expr("fp & ~mask").alias("rest"))
-    centre = masked.groupBy("mask", "rest").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1")
-    stars = masked.join(centre, ["mask", "rest"]).where(F.col("fp") != F.col("dst")).select(F.col("fp").alias("src"), "dst").distinct()
+    # a window, not a join: adaptive execution takes the size of hot for that of its 65 times as many values, and would broadcast them
+    values = hot.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).selectExpr("fp", "if(bit < 64, fp ^ shiftleft(1L, bit), fp) AS value")
+    low = values.withColumn("dst", F.min("fp").over(Window.partitionBy("value")))
+    stars = low.where(F.col("fp") != F.col("dst")).select(F.col("fp").alias("src"), "dst").distinct()
     return pairs.union(stars)
 
 

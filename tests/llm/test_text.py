@@ -85,6 +85,23 @@ def test_simhash_links_in_hot_variants(spark, monkeypatch):
     assert {x: got.get(x, x) for x in own} == {x: root(x) for x in own}
 
 
+def test_simhash_sends_no_hot_variants_to_the_driver(spark):
+    # one half alike, the other at random: all are hot, few link
+    own = {(5 << 32) ^ rng.getrandbits(32) for _ in range(300)}
+    own |= {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in list(own)[:50]}
+    found = simhash.links(spark.createDataFrame([(x - (x >> 63 << 64),) for x in own], "fp long"))
+    pairs = {(max(a, b), min(a, b)) for a, b in itertools.combinations(own, 2) if (a ^ b).bit_count() <= 2}
+    got = {(r.src % 2**64, r.dst % 2**64) for r in found.collect()}
+    assert got <= {p for a, b in pairs for p in ((a, b), (b, a))}
+    assert len({x for p in got for x in p}) == len({x for p in pairs for x in p})
+    # the 65 values of a fingerprint were once 2016 and were broadcast: nothing that is broadcast is made many times larger first
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    sent = [k for k, x in enumerate(plan) if "BroadcastExchange" in x]
+    under = [x for k in sent for x in plan[k + 1 : next((i for i in range(k + 1, len(plan)) if depth[i] <= depth[k]), len(plan))]]
+    assert any("Final Plan" in x for x in plan) and not [x for x in under if "Generate" in x]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
