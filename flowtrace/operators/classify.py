@@ -31,7 +31,8 @@ class EntityRiskClassifier:
         total = sum(counts.values())
         weight = F.when(F.col(label).cast("int") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
         rows = cut(features.select(self._vector(features).alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight")))
-        self.model = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=self.seed, weightCol="weight").fit(rows)
+        # the copy has no training summary, which holds the session: that can't be sent to tasks once it has observed a table
+        self.model = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=self.seed, weightCol="weight").fit(rows).copy()
         hit = F.col("prediction") == 1
         r = self.model.transform(rows).agg(F.count_if(hit & (F.col("label") == 1)), F.count_if(hit), F.count_if(F.col("label") == 1)).first()
         precision, recall = (r[0] / r[1] if r[1] else 0.0), (r[0] / r[2] if r[2] else 0.0)
